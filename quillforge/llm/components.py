@@ -15,7 +15,8 @@ def components(links: DataFrame) -> DataFrame:
     their ends, and contracts the links to what is left between different labels.
     """
     edges = written(links.filter("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct(), "cc-links")
-    labels = None
+    nodes = edges.select(F.col("lo").alias("node")).unionByName(edges.select(F.col("hi").alias("node"))).distinct()
+    labels = written(nodes.withColumn("label", F.col("node")), "cc-labels")
     while not edges.isEmpty():
         parent = written(edges.groupBy("hi").agg(F.min("lo").alias("to")), "cc-hook")
         while True:
@@ -24,19 +25,12 @@ def components(links: DataFrame) -> DataFrame:
             parent = jumped.select("hi", "to")
             if jumped.filter("moved").isEmpty():
                 break
-        if labels is None:
-            roots = parent.select(F.col("to").alias("node")).distinct()
-            labels = parent.select(F.col("hi").alias("node"), F.col("to").alias("label")).unionByName(roots.withColumn("label", F.col("node")))
-        else:
-            up = parent.select(F.col("hi").alias("label"), F.col("to").alias("next"))
-            labels = labels.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+        up = parent.select(F.col("hi").alias("label"), F.col("to").alias("next"))
+        labels = labels.join(up, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
         labels = written(labels, "cc-labels")
         a = parent.select(F.col("hi").alias("lo"), F.col("to").alias("to_lo"))
         b = parent.select("hi", F.col("to").alias("to_hi"))
         e = edges.join(b, "hi").select("lo", "to_hi").filter("lo <> to_hi").distinct()
         e = e.join(a, "lo", "left").select(F.coalesce("to_lo", "lo").alias("u"), F.col("to_hi").alias("v"))
         edges = written(e.filter("u <> v").select(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct(), "cc-links")
-    if labels is None:
-        return edges.select(F.col("lo").alias("node"), F.col("hi").alias("label"))
-    # a node whose neighbours were all larger may have been hooked later: labels of labels are final here
     return labels
