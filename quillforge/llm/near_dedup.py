@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,28 +186,33 @@ def confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return p.select("u", "v", "x", "y").mapInArrow(_confirm(least), "u binary, v binary")
 
 
-def _compare(part: pd.DataFrame) -> pd.DataFrame:
+def _compare(part: pa.Table) -> pa.Table:
     """Pairs with enough matches between different components, of one pair of blocks of one list."""
-    left, right = part[part.side.to_numpy() == 0], part[part.side.to_numpy() == 1]
-    if not len(left):
-        return pd.DataFrame({"u": [], "v": []})
-    same = not len(right)
+    side = part.column("side").to_numpy()
+    left, right = part.filter(pa.array(side == 0)), part.filter(pa.array(side == 1))
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+    if not left.num_rows:
+        return schema.empty_table()
+    same = not right.num_rows
     right = left if same else right
-    a = np.frombuffer(b"".join(left.sig), np.uint32).reshape(-1, K)
-    b = np.frombuffer(b"".join(right.sig), np.uint32).reshape(-1, K)
-    la, lb = pd.factorize(pd.concat([left.label, right.label]))[0][: len(left)], pd.factorize(pd.concat([left.label, right.label]))[0][len(left) :]
-    na, nb = left.n.to_numpy(), right.n.to_numpy()
-    us, vs = left.cls.to_numpy(), right.cls.to_numpy()
-    u, v = [], []
-    for i in range(len(left)):
+    a, b = _matrix(left.column("sig")), _matrix(right.column("sig"))
+    number: dict[bytes, int] = {}
+    la = np.array([number.setdefault(x, len(number)) for x in left.column("label").to_pylist()])
+    lb = np.array([number.setdefault(x, len(number)) for x in right.column("label").to_pylist()])
+    if len(number) < 2:
+        return schema.empty_table()
+    na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
+    u: list[int] = []
+    v: list[int] = []
+    for i in range(left.num_rows):
         at = np.flatnonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= 85 * np.maximum(nb, na[i])))
         if same:
             at = at[at > i]
         if at.size:
             at = at[(b[at] == a[i]).sum(axis=1) >= MATCHES]
-            u += [us[i]] * at.size
-            v += list(vs[at])
-    return pd.DataFrame({"u": u, "v": v})
+            u += [i] * at.size
+            v += at.tolist()
+    return pa.Table.from_arrays([left.column("cls").take(pa.array(u, pa.int64())), right.column("cls").take(pa.array(v, pa.int64()))], schema=schema)
 
 
 def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
@@ -221,7 +225,7 @@ def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "label", F.col("m").alias("n"), "sig")
-    pairs = rows.groupBy("token", "i", "j").applyInPandas(_compare, "u binary, v binary")
+    pairs = rows.groupBy("token", "i", "j").applyInArrow(_compare, "u binary, v binary")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -255,9 +259,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             pairs = _across(shared.select("token", "cls"), labels, reps)
         pairs = written(pairs, "near-pairs")
+        if pairs.isEmpty():
+            continue
         new = written(confirmed(pairs, sets, least), "near-links")
         links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if not new.isEmpty():
+            labels = components(links)
     # a class is labelled by its component, a row by its class
     sized = reps.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least_id = sized.groupBy("label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("classes"))
