@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality
+from . import chunk_dedup, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
+
+
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunk_dedup.dedup(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
@@ -78,7 +83,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op4_chunk_dedup, op6_decontaminate, op7_exact_dedup, op9_lm_score, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_chunk_dedup, op6_decontaminate, op7_exact_dedup, op9_lm_score, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
