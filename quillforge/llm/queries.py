@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, decontaminate, exact_dedup, lm_score, mixing, near_dedup, quality, repeats
+from . import chunk_dedup, decontaminate, exact_dedup, html_extract, lm_score, mixing, near_dedup, pseudonyms, quality, repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("sha").alias("kept_sha256"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -50,6 +54,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"), "text")
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_score.scores(_read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -83,7 +92,7 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_chunk_dedup, op6_decontaminate, op7_exact_dedup, op9_lm_score, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_mixing, op3_repeats, op4_chunk_dedup, op5_html, op6_decontaminate, op7_exact_dedup, op8_pseudonyms, op9_lm_score, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
