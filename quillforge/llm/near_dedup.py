@@ -149,7 +149,7 @@ def _post(shared):
                     rank = (np.log2(np.maximum(freq, 1).astype(np.float64)).astype(np.uint64) << tk.U(58)) | (tk.mix(token) >> tk.U(6))
                 pick = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
                 chosen = np.take_along_axis(token, pick, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), part.column("cls").take(pa.array(np.repeat(np.arange(part.num_rows), PREFIX)))], ["token", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), part.column("num").take(pa.array(np.repeat(np.arange(part.num_rows), PREFIX)))], ["token", "num"])
 
     return run
 
@@ -157,7 +157,7 @@ def _post(shared):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in tk.slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("cls").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("num").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["num", "shingles"])
 
 
 def _confirm(least: int):
@@ -177,26 +177,43 @@ def _confirm(least: int):
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """Pairs (u, v) whose full sets are similar enough. A class in many pairs is dealt out in parts of 500."""
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures match in enough coordinates."""
+    for batch in batches:
+        if batch.num_rows:
+            same = (_matrix(batch.column("x")) == _matrix(batch.column("y"))).sum(axis=1)
+            yield batch.select(["u", "v"]).filter(pa.array(same >= MATCHES))
+
+
+def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    """Pairs (u, v) with the values x of u and y of v. A class in many pairs is dealt out in parts of 500."""
     degree = pairs.groupBy("u").agg((F.floor(F.count(F.lit(1)) / 500) + 1).cast("long").alias("parts"))
-    left = sets.join(degree, sets.cls == degree.u).select("u", F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"))
-    p = split_join(pairs, degree, "u", "parts", 1 << 40).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")) + 1)
-    p = p.join(sets.select(F.col("cls").alias("v"), F.col("shingles").alias("y")), "v").join(left, ["u", "part"])
-    return p.select("u", "v", "x", "y").mapInArrow(_confirm(least), "u binary, v binary")
+    many = degree.filter("parts > 1")
+    p = split_join(pairs, many, "u", "parts", 1 << 40).withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))) + 1).drop("parts")
+    left = table.join(degree.withColumnRenamed("u", "num"), "num").select(F.col("num").alias("u"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"))
+    return p.join(table.select(F.col("num").alias("v"), F.col(value).alias("y")), "v").join(left, ["u", "part"]).select("u", "v", "x", "y")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs of classes (u, v) whose full sets are similar enough; sets are made from the texts of the classes in question."""
+    named = pairs.select(F.col("u").alias("num")).unionByName(pairs.select(F.col("v").alias("num"))).distinct()
+    wanted = written(reps.select("num", "id", "tx").join(named, "num", "left_semi"), "near-wanted")
+    texts = pick_texts(docs, wanted, id_col, text_col)
+    sets = written(texts.join(wanted, ["id", "tx"]).select("num", "text").mapInArrow(_sets, "num long, shingles binary"), "near-sets")
+    return written(beside(pairs, sets, "shingles").mapInArrow(_confirm(least), "u long, v long"), "near-links")
 
 
 def _compare(part: pa.Table) -> pa.Table:
     """Pairs with enough matches between different components, of one pair of blocks of one list."""
     side = part.column("side").to_numpy()
     left, right = part.filter(pa.array(side == 0)), part.filter(pa.array(side == 1))
-    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     if not left.num_rows:
         return schema.empty_table()
     same = not right.num_rows
     right = left if same else right
     a, b = _matrix(left.column("sig")), _matrix(right.column("sig"))
-    number: dict[bytes, int] = {}
+    number: dict[int, int] = {}
     la = np.array([number.setdefault(x, len(number)) for x in left.column("label").to_pylist()])
     lb = np.array([number.setdefault(x, len(number)) for x in right.column("label").to_pylist()])
     if len(number) < 2:
@@ -212,61 +229,60 @@ def _compare(part: pa.Table) -> pa.Table:
             at = at[(b[at] == a[i]).sum(axis=1) >= MATCHES]
             u += [i] * at.size
             v += at.tolist()
-    return pa.Table.from_arrays([left.column("cls").take(pa.array(u, pa.int64())), right.column("cls").take(pa.array(v, pa.int64()))], schema=schema)
+    return pa.Table.from_arrays([left.column("num").take(pa.array(u, pa.int64())), right.column("num").take(pa.array(v, pa.int64()))], schema=schema)
 
 
 def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
     """Candidate pairs between components that share a posting list."""
-    rows = shared.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    rows = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("token", "n")
     rows = split_join(rows, mixed, "token", "n", 1 << 40).filter("n is not null")
-    rows = rows.join(reps.select("cls", F.col("n").alias("m"), "sig"), "cls")
+    rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num")
     blocks = (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("long")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("cls"), blocks))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("num"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "label", F.col("m").alias("n"), "sig")
-    pairs = rows.groupBy("token", "i", "j").applyInArrow(_compare, "u binary, v binary")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), "sig")
+    pairs = rows.groupBy("token", "i", "j").applyInArrow(_compare, "u long, v long")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total: int) -> DataFrame:
+    """For each class the leader, of another component, that it meets in most lists, if their signatures match."""
+    own = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
+    lead = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("num", "token", F.lit(k)).alias("h"), "num", "label")).alias("l"), F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+    lead = lead.select("token", F.col("l.num").alias("lead"), F.col("l.label").alias("lead_label"), "size")
+    met = split_join(own, lead, "token", "size", total).filter("lead is not null and lead_label <> label")
+    met = met.groupBy("num", "lead").agg(F.count(F.lit(1)).alias("met"))
+    pairs = met.groupBy("num").agg(F.max(F.struct("met", "lead")).alias("best")).select(F.col("best.lead").alias("u"), F.col("num").alias("v"))
+    pairs = written(pairs, "near-stars")
+    return beside(pairs, reps.select("num", "sig"), "sig").mapInArrow(_alike, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 85) -> DataFrame:
     """A row for each row of docs: id, tx, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
     sigs = written(rows.mapInArrow(_signatures, "id long, tx long, n long, cls binary, sig binary"), "near-sigs")
     linked = sigs.filter("id is not null and cls is not null")
-    reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
-    reps = written(reps, "near-classes")
+    reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
+    reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "near-classes")
     order = spark.sparkContext.broadcast(sketch(reps))
-    posted = reps.select("sig", "cls").mapInArrow(_post(order), "token long, cls binary")
-    posted = written(posted, "near-posts")
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    posted = written(reps.select("sig", "num").mapInArrow(_post(order), "token long, num long"), "near-posts")
     total = posted.count()
-    shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "cls", "n"), "near-lists")
-    named = shared.select("cls").distinct()
-    texts = pick_texts(docs, reps.join(named, "cls", "left_semi"), id_col, text_col)
-    sets = written(texts.join(reps.join(named, "cls", "left_semi").select("cls", "id", "tx"), ["id", "tx"]).select("cls", "text").mapInArrow(_sets, "cls binary, shingles binary"), "near-sets")
+    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num"), "near-lists")
     links = None
-    labels = spark.createDataFrame([], "node binary, label binary")
+    labels = spark.createDataFrame([], "num long, label long")
     for k in range(ROUNDS + 1):
-        if k < ROUNDS:
-            own = shared.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-            lead = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("cls", "token", F.lit(k)).alias("h"), "cls", "label")).alias("l"), F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-            lead = lead.select("token", F.col("l.cls").alias("lead"), F.col("l.label").alias("lead_label"), "size")
-            met = split_join(own, lead, "token", "size", total).filter("lead is not null and lead_label <> label")
-            met = met.groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("met"))
-            pairs = met.groupBy("cls").agg(F.max(F.struct("met", "lead")).alias("best")).select(F.col("best.lead").alias("u"), F.col("cls").alias("v"))
-        else:
-            pairs = _across(shared.select("token", "cls"), labels, reps)
-        pairs = written(pairs, "near-pairs")
+        pairs = written(_stars(shared, labels, reps, k, total) if k < ROUNDS else _across(shared, labels, reps), "near-pairs")
         if pairs.isEmpty():
             continue
-        new = written(confirmed(pairs, sets, least), "near-links")
+        new = confirmed(docs, pairs, reps, least, id_col, text_col)
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
-            labels = components(links)
+            labels = components(links).withColumnRenamed("node", "num")
     # a class is labelled by its component, a row by its class
-    sized = reps.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    sized = reps.select("num", "id", "cls", "rows").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     least_id = sized.groupBy("label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("classes"))
     sized = written(split_join(sized.select("cls", "rows", "label"), least_id, "label", "classes", total).filter("rows > 1 or classes > 1").select("cls", "rows", "component"), "near-components")
     out = split_join(sigs.select("id", "tx", "n", "cls"), sized, "cls", "rows", total)
