@@ -10,7 +10,8 @@ has little else.
 
 Posting lists are not expanded into pairs. In each of ROUNDS rounds every class is paired with
 one member of its lists, the one it meets in most of them, links are confirmed on the full
-sets, and components are merged. What remains are lists that hold several components; their
+sets, and components are merged; leaders are by turns the members that meet most others (a group's
+common origin, if it is there) and members taken by hash. What remains are lists that hold several components; their
 members are compared across components by signature, in blocks of bounded size, and all pairs
 with enough matches are confirmed on the full sets. No link between different components is
 left out by a cap.
@@ -41,7 +42,7 @@ PREFIX = K - MATCHES + 1
 WORDS = 5
 SLOTS = 1 << 18
 CHUNK = 1 << 12
-ROUNDS = 2
+ROUNDS = 3
 #: members of a posting list that one task compares with as many others
 BLOCK = 1000
 
@@ -136,7 +137,9 @@ def sketch(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def _post(shared):
+def _post(shared, rows: bool):
+    """Posts of each class: a row for each token, or (rows false) one row with a mask of the posted coordinates."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
@@ -148,6 +151,10 @@ def _post(shared):
                     # frequency by powers of two, then by value: one order for all documents
                     rank = (np.log2(np.maximum(freq, 1).astype(np.float64)).astype(np.uint64) << tk.U(58)) | (tk.mix(token) >> tk.U(6))
                 pick = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
+                if not rows:
+                    mask = np.bitwise_or.reduce(tk.U(1) << pick.astype(np.uint64), axis=1)
+                    yield pa.RecordBatch.from_arrays([part.column("num"), pa.array(mask.view(np.int64))], ["num", "mask"])
+                    continue
                 chosen = np.take_along_axis(token, pick, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), part.column("num").take(pa.array(np.repeat(np.arange(part.num_rows), PREFIX)))], ["token", "num"])
 
@@ -219,6 +226,11 @@ def _compare(part: pa.Table) -> pa.Table:
     if len(number) < 2:
         return schema.empty_table()
     na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
+    # a pair is reported by the list of the first coordinate that both post and agree in
+    own = int(np.argmax(_tokens(a[:1])[0] == np.uint64(part.column("token")[0].as_py() & 0xFFFFFFFFFFFFFFFF)))
+    ma, mb = left.column("mask").to_numpy().view(np.uint64), right.column("mask").to_numpy().view(np.uint64)
+    bit = tk.U(1) << np.arange(K, dtype=np.uint64)
+    earlier = bit[:own]
     u: list[int] = []
     v: list[int] = []
     for i in range(left.num_rows):
@@ -226,30 +238,35 @@ def _compare(part: pa.Table) -> pa.Table:
         if same:
             at = at[at > i]
         if at.size:
-            at = at[(b[at] == a[i]).sum(axis=1) >= MATCHES]
+            same_value = b[at] == a[i]
+            good = same_value.sum(axis=1) >= MATCHES
+            if own:
+                posted = ((mb[at][:, None] & ma[i]) & earlier[None, :]) != 0
+                good &= ~(same_value[:, :own] & posted).any(axis=1)
+            at = at[good]
             u += [i] * at.size
             v += at.tolist()
     return pa.Table.from_arrays([left.column("num").take(pa.array(u, pa.int64())), right.column("num").take(pa.array(v, pa.int64()))], schema=schema)
 
 
-def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, masks: DataFrame) -> DataFrame:
     """Candidate pairs between components that share a posting list."""
     rows = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("token", "n")
     rows = split_join(rows, mixed, "token", "n", 1 << 40).filter("n is not null")
-    rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num")
+    rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num").join(masks, "num")
     blocks = (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("long")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("num"), blocks))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), "sig")
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), "sig", "mask")
     pairs = rows.groupBy("token", "i", "j").applyInArrow(_compare, "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
 def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total: int) -> DataFrame:
     """For each class the leader, of another component, that it meets in most lists, if their signatures match."""
-    own = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
-    lead = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("num", "token", F.lit(k)).alias("h"), "num", "label")).alias("l"), F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
+    own = shared.select("token", "num", "met").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
+    lead = own.groupBy("token").agg(F.min(F.struct((-F.col("met") if k % 2 == 0 else F.xxhash64("num", "token", F.lit(k))).alias("h"), "num", "label")).alias("l"), F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
     lead = lead.select("token", F.col("l.num").alias("lead"), F.col("l.label").alias("lead_label"), "size")
     met = split_join(own, lead, "token", "size", total).filter("lead is not null and lead_label <> label")
     met = met.groupBy("num", "lead").agg(F.count(F.lit(1)).alias("met"))
@@ -267,14 +284,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
     reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "near-classes")
     order = spark.sparkContext.broadcast(sketch(reps))
-    posted = written(reps.select("sig", "num").mapInArrow(_post(order), "token long, num long"), "near-posts")
+    posted = written(reps.select("sig", "num").mapInArrow(_post(order, True), "token long, num long"), "near-posts")
     total = posted.count()
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num"), "near-lists")
+    shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num", "n"), "near-lists")
+    met = shared.groupBy("num").agg(F.sum("n").alias("met"))
+    shared = written(shared.select("token", "num").join(met, "num"), "near-lists")
+    masks = written(reps.select("sig", "num").mapInArrow(_post(order, False), "num long, mask long").join(shared.select("num").distinct(), "num", "left_semi"), "near-masks")
     links = None
     labels = spark.createDataFrame([], "num long, label long")
     for k in range(ROUNDS + 1):
-        pairs = written(_stars(shared, labels, reps, k, total) if k < ROUNDS else _across(shared, labels, reps), "near-pairs")
+        pairs = written(_stars(shared, labels, reps, k, total) if k < ROUNDS else _across(shared, labels, reps, masks), "near-pairs")
         if pairs.isEmpty():
             continue
         new = confirmed(docs, pairs, reps, least, id_col, text_col)
