@@ -162,7 +162,11 @@ def _equal(table: pa.Table) -> pa.Table:
     new[1:] = (uid[1:] != uid[:-1]) | (pos[1:] > pos[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], uid.size) - 1
-    return pa.Table.from_arrays([pa.array(uid[first]), pa.array(pos[first]), pa.array(pos[last] if uid.size else pos)], names=["uid", "start", "end"])
+    begin, end, of = pos[first], pos[last] if uid.size else pos, uid[first]
+    # a row for each document: spans stay packed
+    doc = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if of.size else np.zeros(0, np.int64)
+    cut = pa.array(np.append(doc, of.size).astype(np.int32))
+    return pa.Table.from_arrays([pa.array(of[doc]), pa.ListArray.from_arrays(cut, pa.array(begin)), pa.ListArray.from_arrays(cut, pa.array(end))], names=["uid", "starts", "ends"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +211,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(12, 10 * size // SHARD_BYTES)
     packed = texts.select("uid", "text", "names", "parts").mapInArrow(_windows(shards), "shard int, keys binary, uids binary, places binary")
-    spans = packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_equal, "uid long, start int, end int")
-    spans = spans.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_equal, "uid long, starts array<int>, ends array<int>")
+    spans = spans.groupBy("uid").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).cast("array<struct<start:int,end:int>>").alias("spans"))
     cut = texts.select("id", "tx", "uid", "text").join(spans, "uid").select("id", "tx", "text", "spans")
     cut = written(cut.mapInArrow(_cut, "id long, tx long, n_removed long, n_spans long, sha string, spans array<struct<start:int,end:int>>"), "rep-cut").alias("c")
     b = base.alias("b")
