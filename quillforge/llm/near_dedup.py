@@ -12,9 +12,9 @@ Posting lists are not expanded into pairs. In each of ROUNDS rounds every class
 one member of its lists, the one it meets in most of them, links are confirmed on the full
 sets, and components are merged; leaders are by turns the members that meet most others (a group's
 common origin, if it is there) and members taken by hash. What remains are lists that hold several components; their
-members are compared across components by signature, in blocks of bounded size, and all pairs
-with enough matches are confirmed on the full sets. No link between different components is
-left out by a cap.
+members are compared across components by signature, in blocks of bounded size; those that match,
+with all they lead to, make groups whose members are compared on their full sets. No link between different
+components is left out by a cap.
 
 Defined cases. Null, empty and wordless texts have empty sets and link with nothing; texts of
 fewer than five words have their whole sequence as one shingle. A null id is not linked and is
@@ -42,9 +42,9 @@ PREFIX = K - MATCHES + 1
 WORDS = 5
 SLOTS = 1 << 18
 CHUNK = 1 << 12
-ROUNDS = 3
-#: members of a posting list that one task compares with as many others
-BLOCK = 1000
+ROUNDS = 2
+#: members of a list or group that one task compares with as many others, and shingles in a block, about
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
 
 _A = tk.mix(np.arange(1, K + 1, dtype=np.uint64)) | tk.U(1)
 _B = tk.mix(np.arange(1001, 1001 + K, dtype=np.uint64))
@@ -137,8 +137,8 @@ def sketch(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def _post(shared, rows: bool):
-    """Posts of each class: a row for each token, or (rows false) one row with a mask of the posted coordinates."""
+def _post(shared):
+    """A row for each posted token of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
@@ -151,10 +151,6 @@ def _post(shared, rows: bool):
                     # frequency by powers of two, then by value: one order for all documents
                     rank = (np.log2(np.maximum(freq, 1).astype(np.float64)).astype(np.uint64) << tk.U(58)) | (tk.mix(token) >> tk.U(6))
                 pick = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
-                if not rows:
-                    mask = np.bitwise_or.reduce(tk.U(1) << pick.astype(np.uint64), axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column("num"), pa.array(mask.view(np.int64))], ["num", "mask"])
-                    continue
                 chosen = np.take_along_axis(token, pick, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), part.column("num").take(pa.array(np.repeat(np.arange(part.num_rows), PREFIX)))], ["token", "num"])
 
@@ -210,57 +206,129 @@ def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, least: int, id
     return written(beside(pairs, sets, "shingles").mapInArrow(_confirm(least), "u long, v long"), "near-links")
 
 
-def _compare(part: pa.Table) -> pa.Table:
-    """Pairs with enough matches between different components, of one pair of blocks of one list."""
+class Sets:
+    """Disjoint sets of small numbers; every number's root is at hand as an array."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, numbers: np.ndarray) -> None:
+        roots = np.unique(self.root[numbers])
+        if roots.size > 1:
+            self.root[np.isin(self.root, roots)] = roots[0]
+
+
+def _sides(part: pa.Table):
+    """Both blocks of a pair (the same one twice if there is one), the numbers of their labels, and the labels by number."""
     side = part.column("side").to_numpy()
     left, right = part.filter(pa.array(side == 0)), part.filter(pa.array(side == 1))
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    if not left.num_rows:
-        return schema.empty_table()
     same = not right.num_rows
     right = left if same else right
-    a, b = _matrix(left.column("sig")), _matrix(right.column("sig"))
-    number: dict[int, int] = {}
-    la = np.array([number.setdefault(x, len(number)) for x in left.column("label").to_pylist()])
-    lb = np.array([number.setdefault(x, len(number)) for x in right.column("label").to_pylist()])
-    if len(number) < 2:
-        return schema.empty_table()
-    na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
-    # a pair is reported by the list of the first coordinate that both post and agree in
-    own = int(np.argmax(_tokens(a[:1])[0] == np.uint64(part.column("token")[0].as_py() & 0xFFFFFFFFFFFFFFFF)))
-    ma, mb = left.column("mask").to_numpy().view(np.uint64), right.column("mask").to_numpy().view(np.uint64)
-    bit = tk.U(1) << np.arange(K, dtype=np.uint64)
-    earlier = bit[:own]
-    u: list[int] = []
-    v: list[int] = []
-    for i in range(left.num_rows):
-        at = np.flatnonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= 85 * np.maximum(nb, na[i])))
-        if same:
-            at = at[at > i]
-        if at.size:
-            same_value = b[at] == a[i]
-            good = same_value.sum(axis=1) >= MATCHES
-            if own:
-                posted = ((mb[at][:, None] & ma[i]) & earlier[None, :]) != 0
-                good &= ~(same_value[:, :own] & posted).any(axis=1)
-            at = at[good]
-            u += [i] * at.size
-            v += at.tolist()
-    return pa.Table.from_arrays([left.column("num").take(pa.array(u, pa.int64())), right.column("num").take(pa.array(v, pa.int64()))], schema=schema)
-
-
-def _across(shared: DataFrame, labels: DataFrame, reps: DataFrame, masks: DataFrame) -> DataFrame:
-    """Candidate pairs between components that share a posting list."""
+    names, number = np.unique(np.concatenate([left.column("label").to_numpy(), right.column("label").to_numpy()]), return_inverse=True)
+    return left, right, same, number[: left.num_rows], number[left.num_rows :], names
+
+
+def _meeting(least: int):
+    """Members of one pair of blocks of one list that match a member of another component, with a root that all they lead to share."""
+
+    def run(part: pa.Table) -> pa.Table:
+        left, right, same, la, lb, names = _sides(part)
+        a, b = _matrix(left.column("sig")), _matrix(right.column("sig"))
+        na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
+        joined = Sets(names.size)
+        met_a = np.zeros(left.num_rows, bool)
+        met_b = met_a if same else np.zeros(right.num_rows, bool)
+        for i in range(left.num_rows if right.num_rows else 0):
+            at = np.flatnonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i])))
+            if same:
+                at = at[at > i]
+            at = at[(b[at] == a[i]).sum(axis=1) >= MATCHES]
+            if at.size:
+                met_a[i] = True
+                met_b[at] = True
+                joined.join(np.append(lb[at], la[i]))
+        out = [(left, la, met_a)] if same else [(left, la, met_a), (right, lb, met_b)]
+        num = np.concatenate([x.column("num").to_numpy()[m] for x, _, m in out])
+        of = np.concatenate([n[m] for _, n, m in out])
+        return pa.table({"num": pa.array(num, pa.int64()), "label": pa.array(names[of], pa.int64()), "root": pa.array(names[joined.root[of]], pa.int64())})
+
+    return run
+
+
+def _verified(least: int):
+    """Links between components among two blocks of members, by their full sets; links that others imply are left out."""
+
+    def run(part: pa.Table) -> pa.Table:
+        left, right, same, la, lb, names = _sides(part)
+        na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
+        u: list[int] = []
+        v: list[int] = []
+        if left.num_rows and right.num_rows:
+            tables = [left] if same else [left, right]
+            code = np.unique(np.concatenate([np.frombuffer(b"".join(x.column("shingles").to_pylist()), np.uint64) for x in tables]), return_inverse=True)[1]
+            ca = code[: na.sum()]
+            cb = ca if same else code[na.sum() :]
+            sa, sb = (np.concatenate([[0], np.cumsum(x)]) for x in (na, nb))
+            mark = np.zeros(int(code.max()) + 1, np.int32)
+            joined = Sets(names.size)
+            for i in range(left.num_rows):
+                mine = joined.root[la[i]]
+                at = np.flatnonzero((joined.root[lb] != mine) & (100 * np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i])))
+                if same:
+                    at = at[at > i]
+                if not at.size:
+                    continue
+                own = ca[sa[i] : sa[i + 1]]
+                mark[own] = 1
+                if at.size * 8 < nb.size:
+                    common = np.array([mark[cb[sb[k] : sb[k + 1]]].sum() for k in at])
+                else:
+                    common = np.add.reduceat(mark[cb], sb[:-1])[at]
+                mark[own] = 0
+                at = at[100 * common >= least * (na[i] + nb[at] - common)]
+                if at.size:
+                    at = at[np.unique(joined.root[lb[at]], return_index=True)[1]]  # one for each component
+                    u += [i] * at.size
+                    v += at.tolist()
+                    joined.join(np.append(lb[at], la[i]))
+        return pa.table({"u": left.column("num").take(pa.array(u, pa.int64())), "v": right.column("num").take(pa.array(v, pa.int64()))})
+
+    return run
+
+
+def _blocks(rows: DataFrame, key: str, blocks, value: str) -> DataFrame:
+    """Every pair of blocks of a key's members, as (key, i, j, side)."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("num"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), value)
+
+
+def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame | None:
+    """Links between components that share a posting list, enough of them to join all that belong together.
+
+    Members that match one of another component by signature are gathered, with all that
+    they lead to, into groups; a group's members are compared on their full sets, in
+    pairs of blocks. What is written grows with the members, not with their pairs.
+    """
     rows = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("token", "n")
-    rows = split_join(rows, mixed, "token", "n", 1 << 40).filter("n is not null")
-    rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num").join(masks, "num")
-    blocks = (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("long")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("num"), blocks))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), "sig", "mask")
-    pairs = rows.groupBy("token", "i", "j").applyInArrow(_compare, "u long, v long")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("c")).filter("a <> b").select("token", "c")
+    rows = split_join(rows, mixed, "token", "c", 1 << 40).filter("c is not null")
+    rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num")
+    rows = _blocks(rows, "token", (F.floor((F.col("c") - 1) / BLOCK) + 1).cast("long"), "sig")
+    met = written(rows.groupBy("token", "i", "j").applyInArrow(_meeting(least), "num long, label long, root long"), "near-met")
+    if met.isEmpty():
+        return None
+    groups = components(met.select(F.col("label").alias("u"), F.col("root").alias("v")))
+    members = written(met.select("num", "label").distinct(), "near-members")
+    total = members.count()
+    groups = groups.select(F.col("node").alias("of"), F.col("label").alias("grp")).join(members.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("c")), "of")
+    members = split_join(members.select("num", "label", F.col("label").alias("of")), groups, "of", "c", total).select("num", "label", "grp")
+    members = written(members.join(reps.select("num", "id", "tx", F.col("n").alias("m")), "num"), "near-members")
+    texts = pick_texts(docs, members, id_col, text_col)
+    sets = written(texts.join(members.select("id", "tx", "num"), ["id", "tx"]).select("num", "text").mapInArrow(_sets, "num long, shingles binary"), "near-sets")
+    size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("all"))
+    rows = split_join(members.select("num", "label", "grp", "m"), size, "grp", "c", total).join(sets, "num")
+    rows = _blocks(rows, "grp", F.greatest(F.floor((F.col("c") - 1) / BLOCK), F.floor(F.col("all") / BLOCK_SHINGLES)).cast("long") + 1, "shingles")
+    return written(rows.groupBy("grp", "i", "j").applyInArrow(_verified(least), "u long, v long"), "near-links")
 
 
 def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total: int) -> DataFrame:
@@ -284,22 +352,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
     reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "near-classes")
     order = spark.sparkContext.broadcast(sketch(reps))
-    posted = written(reps.select("sig", "num").mapInArrow(_post(order, True), "token long, num long"), "near-posts")
+    posted = written(reps.select("sig", "num").mapInArrow(_post(order), "token long, num long"), "near-posts")
     total = posted.count()
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num", "n"), "near-lists")
     met = shared.groupBy("num").agg(F.sum("n").alias("met"))
     shared = written(shared.select("token", "num").join(met, "num"), "near-lists")
-    masks = written(reps.select("sig", "num").mapInArrow(_post(order, False), "num long, mask long").join(shared.select("num").distinct(), "num", "left_semi"), "near-masks")
     links = None
     labels = spark.createDataFrame([], "num long, label long")
     for k in range(ROUNDS + 1):
-        pairs = written(_stars(shared, labels, reps, k, total) if k < ROUNDS else _across(shared, labels, reps, masks), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        new = confirmed(docs, pairs, reps, least, id_col, text_col)
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
+        if k < ROUNDS:
+            pairs = written(_stars(shared, labels, reps, k, total), "near-pairs")
+            new = None if pairs.isEmpty() else confirmed(docs, pairs, reps, least, id_col, text_col)
+        else:
+            new = _across(docs, shared, labels, reps, least, id_col, text_col)
+        if new is not None and not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
             labels = components(links).withColumnRenamed("node", "num")
     # a class is labelled by its component, a row by its class
     sized = reps.select("num", "id", "cls", "rows").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
