@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import script as J
 from ..functions.css import minify
 from ..operators import corpus as C
+from ..operators import sprites as P
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -272,6 +274,46 @@ def css_minify(t, spark):
     return t("part").select("p_partkey", minify(css).alias("css"))
 
 
+@_query("""SELECT p_partkey, CASE WHEN i < 21 THEN substr(a, i + 1, 1)
+WHEN i < 462 THEN substr(a, i % 21 + 1, 1) || substr(b, (i - 21) // 21 + 1, 1)
+WHEN i < 9723 THEN substr(a, i % 21 + 1, 1) || substr(b, (i // 21 - 1) % 21 + 1, 1) || substr(b, (i // 21 - 1) // 21, 1)
+ELSE substr(a, i % 21 + 1, 1) || substr(b, (i // 21 - 1) % 21 + 1, 1) || substr(b, ((i // 21 - 1) // 21 - 1) % 21 + 1, 1) || substr(b, ((i // 21 - 1) // 21 - 1) // 21, 1) END AS name
+FROM (SELECT p_partkey, p_partkey - 1 AS i, 'ntirufeoshclavypwbkdg' AS a, 'tirufeoshclavypwbkdgn' AS b FROM part)""")
+def short_names(t, spark):
+    return t("part").select("p_partkey", J.short_name(F.col("p_partkey") - 1).alias("name"))
+
+
+@_query("""WITH v AS (SELECT p_partkey, abs(n) * 2 + CASE WHEN n < 0 THEN 1 ELSE 0 END AS v FROM (SELECT p_partkey, (p_partkey - 100) * p_size AS n FROM part)),
+d AS (SELECT p_partkey, v, CASE WHEN v = 0 THEN 0 ELSE (length(bin(v)) - 1) // 5 END AS last FROM v)
+SELECT p_partkey, array_to_string(list_transform(range(0, last + 1), lambda p: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/', CAST(((v >> CAST(5 * p AS BIGINT)) & 31) + CASE WHEN p < last THEN 33 ELSE 1 END AS BIGINT), 1)), '') AS code FROM d""")
+def source_map_numbers(t, spark):
+    return t("part").select("p_partkey", J.vlq((F.col("p_partkey") - 100) * F.col("p_size")).alias("code"))
+
+
+@_query("SELECT event_id, replace(props, ' ', '') AS packed FROM events")
+def json_pack(t, spark):
+    return t("events").select("event_id", J.json_text(F.col("props")).alias("packed"))
+
+
+@_query("""SELECT p_partkey, CAST(p_partkey + p_size AS DOUBLE) AS plus, CAST(p_partkey AS DOUBLE) / nullif(p_size % 3, 0) AS quotient, CAST(p_partkey & p_size AS DOUBLE) AS both,
+CAST(p_partkey >> (p_size % 8) AS DOUBLE) AS shifted, CASE WHEN p_partkey < p_size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS less FROM part""")
+def literal_folds(t, spark):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    return t("part").select("p_partkey", J.fold("+", k, s).alias("plus"), J.fold("/", k, s % 3).alias("quotient"), J.fold("&", k, s).alias("both"), J.fold(">>", k, s % 8).alias("shifted"), J.fold("<", k, s).alias("less"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 7 > 1 AND p_size % 7 < 4 THEN 'MultipleUrls' WHEN p_size % 11 = 0 THEN 'SpritingIgnore' WHEN p_size % 7 = 0 THEN 'NoUrl'
+WHEN p_size % 2 = 0 THEN CASE WHEN p_size % 3 <> 0 THEN 'BackgroundRepeatInvalid' WHEN NOT (p_partkey % 5 = 0 OR p_size > 25) THEN 'IncorrectPosition' END
+ELSE CASE WHEN p_size % 5 = 0 THEN 'NoRepeat' WHEN p_size % 3 <> 0 THEN 'BackgroundRepeatInvalid' WHEN NOT (p_partkey % 5 = 0 OR p_size > 25) THEN 'IncorrectPosition' END END AS reason FROM part""")
+def sprite_candidates(t, spark):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    urls = F.when((s % 7 > 1) & (s % 7 < 4), 2).when(s % 7 == 0, 0).otherwise(1)
+    repeat = F.when((s % 2 == 1) & (s % 5 == 0), F.lit(None)).when(s % 3 == 0, "no-repeat").otherwise("repeat")
+    vertical = P.vertical_candidate(F.lit(0), F.lit("px"), k % 5, F.when(s > 25, "px").otherwise("%"))
+    reason = P.failure_reason(urls, s % 11 == 0, s % 2 == 0, s % 2 == 1, F.lit(False), repeat, F.lit(True), vertical)
+    return t("part").select("p_partkey", reason.alias("reason"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
