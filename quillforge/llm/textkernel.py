@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 U = np.uint64
 _MULT = U(0x9E3779B97F4A7C15)
 _BASE = U(0x100000001B3)
