@@ -15,6 +15,9 @@ from quillforge.llm import decontaminate, exact_dedup, mixing, near_dedup, quali
 from quillforge.llm.keep import keep_rows
 from quillforge.llm.scratch import written
 
+#: near copies of a stage: pairs at a similarity of 0.80 or more (op10 keeps its contract of 0.85)
+NEAR_LEAST = 80
+
 #: a language model and a mixing rule that iterates are beyond SQL
 ORACLE_SQL = None
 
@@ -30,7 +33,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the least id."""
-    return keep_rows(docs, near_dedup.near_duplicates(docs))
+    return keep_rows(docs, near_dedup.near_duplicates(docs, least=NEAR_LEAST))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A document's set is its distinct 5-word shingles. Documents with equal sets form a class; a
 signature of K least values stands for each class. Pairs are sought that agree in at least
-MATCHES of K coordinates: at a similarity of 0.85 a pair fails that with a probability under
-1e-8. By pigeonhole such a pair agrees within the first K - MATCHES + 1 coordinates of both, in
+matches(least) of K coordinates: at the similarity asked for a pair fails that with a probability
+under MISSED. By pigeonhole such a pair agrees within the first K - matches + 1 coordinates of both, in
 any one order of coordinate values, so only that prefix is posted; the order puts values
 that a count sketch finds frequent last, so long posting lists are skipped unless a document
 has little else.
@@ -25,6 +25,7 @@ Empty input gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,7 @@ from .keep import pick_texts
 from .scratch import split_join, written
 
 K = 64
-MATCHES = 36
-PREFIX = K - MATCHES + 1
+MISSED = 1e-8
 WORDS = 5
 SLOTS = 1 << 18
 CHUNK = 1 << 12
@@ -50,6 +50,16 @@ _A = tk.mix(np.arange(1, K + 1, dtype=np.uint64)) | tk.U(1)
 _B = tk.mix(np.arange(1001, 1001 + K, dtype=np.uint64))
 
 
+def matches(least: int) -> int:
+    """In how many of K coordinates a pair at a similarity of least / 100 agrees at least, but for a probability under MISSED."""
+    p, missed = least / 100, 0.0
+    for m in range(K):
+        missed += comb(K, m) * p**m * (1 - p) ** (K - m)
+        if missed >= MISSED:
+            return max(1, m)
+    return K
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a slice."""
     words = tk.Words(data, offsets, tk.SPACED)
@@ -137,7 +147,7 @@ def sketch(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def _post(shared):
+def _post(shared, prefix: int):
     """A row for each posted token of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +160,9 @@ def _post(shared):
                 with np.errstate(over="ignore"):
                     # frequency by powers of two, then by value: one order for all documents
                     rank = (np.log2(np.maximum(freq, 1).astype(np.float64)).astype(np.uint64) << tk.U(58)) | (tk.mix(token) >> tk.U(6))
-                pick = np.argpartition(rank, PREFIX - 1, axis=1)[:, :PREFIX]
+                pick = np.argpartition(rank, prefix - 1, axis=1)[:, :prefix]
                 chosen = np.take_along_axis(token, pick, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), part.column("num").take(pa.array(np.repeat(np.arange(part.num_rows), PREFIX)))], ["token", "num"])
+                yield pa.RecordBatch.from_arrays([pa.array(chosen.ravel()), part.column("num").take(pa.array(np.repeat(np.arange(part.num_rows), prefix)))], ["token", "num"])
 
     return run
 
@@ -180,12 +190,17 @@ def _confirm(least: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(least: int):
     """Pairs whose signatures match in enough coordinates."""
-    for batch in batches:
-        if batch.num_rows:
-            same = (_matrix(batch.column("x")) == _matrix(batch.column("y"))).sum(axis=1)
-            yield batch.select(["u", "v"]).filter(pa.array(same >= MATCHES))
+    need = matches(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                same = (_matrix(batch.column("x")) == _matrix(batch.column("y"))).sum(axis=1)
+                yield batch.select(["u", "v"]).filter(pa.array(same >= need))
+
+    return run
 
 
 def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
@@ -230,6 +245,7 @@ def _sides(part: pa.Table):
 
 def _meeting(least: int):
     """Members of one pair of blocks of one list that match a member of another component, with a root that all they lead to share."""
+    need = matches(least)
 
     def run(part: pa.Table) -> pa.Table:
         left, right, same, la, lb, names = _sides(part)
@@ -242,7 +258,7 @@ def _meeting(least: int):
             at = np.flatnonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= least * np.maximum(nb, na[i])))
             if same:
                 at = at[at > i]
-            at = at[(b[at] == a[i]).sum(axis=1) >= MATCHES]
+            at = at[(b[at] == a[i]).sum(axis=1) >= need]
             if at.size:
                 met_a[i] = True
                 met_b[at] = True
@@ -331,7 +347,7 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFra
     return written(rows.groupBy("grp", "i", "j").applyInArrow(_verified(least), "u long, v long"), "near-links")
 
 
-def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total: int) -> DataFrame:
+def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total: int, least: int) -> DataFrame:
     """For each class the leader, of another component, that it meets in most lists, if their signatures match."""
     own = shared.select("token", "num", "met").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     lead = own.groupBy("token").agg(F.min(F.struct((-F.col("met") if k % 2 == 0 else F.xxhash64("num", "token", F.lit(k))).alias("h"), "num", "label")).alias("l"), F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
@@ -340,7 +356,7 @@ def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total:
     met = met.groupBy("num", "lead").agg(F.count(F.lit(1)).alias("met"))
     pairs = met.groupBy("num").agg(F.max(F.struct("met", "lead")).alias("best")).select(F.col("best.lead").alias("u"), F.col("num").alias("v"))
     pairs = written(pairs, "near-stars")
-    return beside(pairs, reps.select("num", "sig"), "sig").mapInArrow(_alike, "u long, v long")
+    return beside(pairs, reps.select("num", "sig"), "sig").mapInArrow(_alike(least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 85) -> DataFrame:
@@ -352,7 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
     reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "near-classes")
     order = spark.sparkContext.broadcast(sketch(reps))
-    posted = written(reps.select("sig", "num").mapInArrow(_post(order), "token long, num long"), "near-posts")
+    posted = written(reps.select("sig", "num").mapInArrow(_post(order, K - matches(least) + 1), "token long, num long"), "near-posts")
     total = posted.count()
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num", "n"), "near-lists")
@@ -362,7 +378,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = spark.createDataFrame([], "num long, label long")
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
-            pairs = written(_stars(shared, labels, reps, k, total), "near-pairs")
+            pairs = written(_stars(shared, labels, reps, k, total, least), "near-pairs")
             new = None if pairs.isEmpty() else confirmed(docs, pairs, reps, least, id_col, text_col)
         else:
             new = _across(docs, shared, labels, reps, least, id_col, text_col)
