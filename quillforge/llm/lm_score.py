@@ -174,8 +174,8 @@ class Filter:
         return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
 
 
-def _score(shared, shards: int, hist: tuple[int, int], word: tuple[int, int], n: int, v: int, first: bool):
-    """Parts of the scores from tokens whose history and word are in two ranges of shards."""
+def _score(shared, shards: int, hist: tuple[int, int], word: tuple[int, int], n: int, v: int, texts: int, first: bool):
+    """Parts of the scores from tokens whose history and word are in two ranges of shards; texts begin as often as they were counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts_h, counts_w, bloom = shared.value
@@ -188,7 +188,7 @@ def _score(shared, shards: int, hist: tuple[int, int], word: tuple[int, int], n:
                 own = (sw >= word[0]) & (sw < word[1])
                 both = own & (sh >= hist[0]) & (sh < hist[1])
                 ch = counts_h.find(before)
-                ch[before == START[0]] = counts_h.count[np.searchsorted(counts_h.key, END[0])] if END[0] in counts_h.key else 0
+                ch[before == START[0]] = texts
                 got = bloom.count(pair(before, h), sh)
                 p = np.log10((np.minimum(got, ch) + MU * base) / (ch + MU))
 
@@ -211,7 +211,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slic
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
     train = rows.filter(~held_out(F.col("id")))
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, texts = train.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    size = size or 0
     shards = max(12, size // SHARD_BYTES + 1)
     packed = train.select("text").mapInArrow(_gather(shards), "shard int, kind int, keys binary, counts binary")
     model = written(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_merge, "shard int, kind int, body binary, counts binary, size long, total long"), "lm-shards")
@@ -235,7 +236,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slic
         for j, word in enumerate(ranges):
             counts_w = counts_h if i == j else Counts(load(1, word))
             shared = spark.sparkContext.broadcast((counts_h, counts_w, bloom))
-            parts.append(rows.mapInArrow(_score(shared, shards, hist, word, n, v, i == 0), "id long, tx long, n_tokens long, n_known long, base_score double, score double"))
+            parts.append(rows.mapInArrow(_score(shared, shards, hist, word, n, v, texts, i == 0), "id long, tx long, n_tokens long, n_known long, base_score double, score double"))
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
