@@ -29,6 +29,8 @@ MDY = r"(?<![0-9/])(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2
 PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[1-9][0-9]{7,14}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+#: every match of a kind holds this
+MAY = r"@|[0-9][^A-Za-z]?[0-9]|AKIA|ASIA"
 KINDS = {"email": EMAIL, "ip": IP, "ssn": SSN, "date_iso": ISO, "date_dmy": DMY, "date_mdy": MDY, "phone": PHONE, "card": CARD, "key": KEY}
 
 
@@ -139,7 +141,7 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """A row for each document: id, tx, text (with pseudonyms), found (array of kind, value, pseudonym)."""
     pattern = _quoted("|".join(f"(?:{p})" for p in KINDS.values()))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
-    may = F.col("text").rlike("@|[0-9][^A-Za-z]?[0-9]")
+    may = F.col("text").rlike(MAY)
     rows = rows.withColumn("hits", F.when(may, F.expr(f"regexp_extract_all(text, {pattern}, 0)")).otherwise(F.expr("cast(array() as array<string>)")))
     one = _let(f"struct(m as value, {kind_of('m')} as kind)", "x", f"struct(x.kind as kind, x.value as value, {pseudonym('x.value', 'x.kind', key)} as pseudonym)")
     rows = rows.withColumn("made", F.expr(f"transform(hits, m -> {one})"))
