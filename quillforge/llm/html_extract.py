@@ -1,18 +1,19 @@
 """Main text of web pages by union-free regular-expression inference over same-host pages.
 
 A page is read as a stream of text blocks, each with the path of its elements; runs of blocks with
-one path are a repeated group. Streams of one host are aligned one after the other: where a
+one path are a repeated group, with its first and last block apart. Streams of one host are aligned one after the other: where a
 path is in both, equal texts stay constant and different texts make a text slot; where it is in
 one only, it becomes optional. The result is the host's wrapper. Pages of a large host are
 aligned in groups of about GROUP, and wrappers are aligned with each other until one is left.
 
-The main text of a page is what its article (or main) element holds, and where there is none
-what its wrapper calls a slot; in both cases without elements that are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments by name, role or class.
+The main text of a page is what its wrapper calls a slot. Names check that afterwards: of the
+slots those in an article (or main) element stay, if there are any, without elements that are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments by name, role or class.
+Where classes would take all slots of a page away, they are overruled.
 
 Defined cases. Null html is an empty page; a page without text gives "". A null or odd url is
 a host of its own. A host of fewer than PAGES pages has no constants. If all of a page is
-constant, nothing is taken away. Repeated pages get a row each. Empty tables give no rows.
+constant, or all of its article, that is not taken away. Repeated pages get a row each. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .scratch import split_join, written
 
 GROUP = 500
+#: after the path of the first and the last block of a repeated group
+HEAD, TAIL = "^", "$"
 PAGES = 4
 
 _PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
@@ -49,12 +53,12 @@ _CLASS = re.compile(
 )
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, dropped, in an article) of each block of text, in page order."""
-    out: list[tuple[str, str, bool, bool]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # name, label, dropped, in an article
+def blocks(page: str) -> list[tuple[str, str, int, bool]]:
+    """(path, text, dropped: 1 by class or id alone, 2 by name or role, in an article) of each block of text, in page order."""
+    out: list[tuple[str, str, int, bool]] = []
+    stack: list[tuple[str, str, int, bool]] = []  # name, label, dropped, in an article
     text: list[str] = []
-    state = ("", False, False)
+    state = ("", 0, False)
 
     def flush():
         if text:
@@ -65,7 +69,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 
     def current():
         names = [s[1] for s in stack if s[0] not in INLINE]
-        top = stack[-1] if stack else ("", "", False, False)
+        top = stack[-1] if stack else ("", "", 0, False)
         return "/".join(names), top[2], top[3]
 
     at, n = 0, len(page)
@@ -86,7 +90,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         if m[1]:
             if any(s[0] == name for s in stack):
-                if name not in INLINE or next(s for s in reversed(stack) if s[0] == name)[2] != (stack[-2][2] if len(stack) > 1 else False):
+                if name not in INLINE or next(s for s in reversed(stack) if s[0] == name)[2] != (stack[-2][2] if len(stack) > 1 else 0):
                     flush()
                 while stack and stack.pop()[0] != name:
                     pass
@@ -98,8 +102,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(m[3] or "")}
         label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-        drop = name in DROP or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-        drop = drop or (name not in {"html", "body", "article", "main"} and bool(_CLASS.search(label)))
+        drop = 2 * (name in DROP or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true")
+        drop = drop or int(name not in {"html", "body", "article", "main"} and bool(_CLASS.search(label)))
         if name not in INLINE or drop:
             flush()
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
@@ -116,23 +120,27 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        above = stack[-1] if stack else ("", "", False, False)
+        above = stack[-1] if stack else ("", "", 0, False)
         inside = above[3] or name in ("article", "main") or attrs.get("role", "").lower() == "main"
         first = attrs.get("class", "").split(" ")[0]
-        stack.append((name, f"{name}.{first}" if first else name, above[2] or drop, inside))
+        stack.append((name, f"{name}.{first}" if first else name, max(above[2], drop), inside))
     flush()
     return out
 
 
-def stream(found: list[tuple[str, str, bool, bool]]) -> list[list]:
+def stream(found: list[tuple[str, str, int, bool]]) -> list[list]:
     """Wrapper items of one page: [path, hash of the text or -1 for a slot, repeated, pages]."""
     items: list[list] = []
-    for path, text, _, _ in found:
-        h = zlib.crc32(text.encode())
-        if items and items[-1][0] == path:
-            items[-1][1], items[-1][2] = (items[-1][1] if items[-1][1] == h else -1), True
-        else:
-            items.append([path, h, False, 1])
+    for path, run in groupby(found, lambda x: x[0]):
+        h = [zlib.crc32(x[1].encode()) for x in run]
+        if len(h) == 1:
+            items.append([path, h[0], False, 1])
+            continue
+        # what all pages of a host have before or after the texts of a group would be lost in it
+        items.append([path + HEAD, h[0], False, 1])
+        if len(h) > 2:
+            items.append([path, h[1] if len(set(h[1:-1])) == 1 else -1, True, 1])
+        items.append([path + TAIL, h[-1], False, 1])
     return items
 
 
@@ -192,12 +200,22 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str, constants: set[tuple[str, int]]) -> str:
-    found = [x for x in blocks(page) if not x[2]]
-    article = [x for x in found if x[3]]
-    if article:
-        return "\n".join(x[1] for x in article)
-    slots = [x for x in found if (x[0], zlib.crc32(x[1].encode())) not in constants]
-    return "\n".join(x[1] for x in slots or found)
+    every = blocks(page)
+    found = [x for x in every if x[2] < 2]
+    slots = []
+    for path, group in groupby(every, lambda x: x[0]):
+        run = list(group)
+        for k, x in enumerate(run):
+            end = "" if len(run) == 1 else HEAD if k == 0 else TAIL if k == len(run) - 1 else ""
+            if x[2] < 2 and (path + end, zlib.crc32(x[1].encode())) not in constants:
+                slots.append(x)
+    if not any(not x[2] for x in slots) and (constants or any(x[3] for x in slots)) and slots:
+        found = slots = [(*x[:2], 0, x[3]) for x in slots]  # classes that would take all away say nothing
+    slots, found = ([x for x in some if not x[2]] for some in (slots, found))
+    for some in ([x for x in slots if x[3]], [x for x in found if x[3]], slots):
+        if some:
+            return "\n".join(x[1] for x in some)
+    return "\n".join(x[1] for x in found)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
