@@ -24,9 +24,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, key (sorts by code point, null last), size in words."""
+    """id, tx, source, key (sorts by code point, null last), size in words."""
     return docs.select(
         F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"),
         F.col(source_col).cast("string").alias("source"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -121,9 +122,9 @@ def copies(rows: DataFrame, rates: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """A row for each document: id, source, size, source_size, target, copies, taken."""
+    """A row for each document: id, tx, source, size, source_size, target, copies, taken."""
     rows = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     cells = written(targets(rows.groupBy("key").agg(F.sum("size").alias("total")), weights, most), "mix-targets")
     rates = balance(cells.select("key", "total"), {"key": cells.select("key", "target")}, most)
     out = copies(rows, rates).join(cells.select("key", F.col("total").alias("source_size"), "target"), "key", "left")
-    return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("id", "tx", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

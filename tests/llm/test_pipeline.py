@@ -1,7 +1,11 @@
 """Stages of the pipeline on small tables."""
 
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from quillforge.llm import near_dedup
+from quillforge.llm import mixing, near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,3 +28,18 @@ def test_near_stage_takes_pairs_from_80_to_85(spark):
 
 def test_matches_miss_under_one_in_1e8():
     assert near_dedup.matches(85) == 36 and near_dedup.matches(80) == 31
+
+
+def test_mixing_stage_gives_each_row_its_own_copies(spark):
+    """Null ids, an id with several texts, repeated rows and texts of size 0; the copies are those of the mix."""
+    rows = [(None, f"word{i} " * (1 + i % 7), f"s{i % 3}") for i in range(300)]
+    rows += [(7, f"other{i} " * (2 + i % 5), f"s{i % 3}") for i in range(60)] + [(8, "again and again", "s0")] * 9 + [(None, "", "s1"), (7, None, "s0"), (None, "x y", None)]
+    docs = table(spark, rows)
+    got, want = Counter(), Counter()
+    for r in corpus_pipeline.mixing_stage(spark, docs, "").collect():
+        got[r.doc_id, r.text, r.source] += 1
+        assert r.text and 1 <= r.mix_copy <= 3
+    text = {r.tx: r.text for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tx")).collect()}
+    for r in mixing.mix(docs).collect():
+        want[r.id, text[r.tx], r.source] += r.copies
+    assert got == +want and any(v == 0 for v in want.values())
