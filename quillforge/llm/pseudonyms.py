@@ -7,7 +7,9 @@ letters keep their case, cards stay valid, octets and dates stay in range. A per
 depends on key and format alone, so equal values get equal pseudonyms in every document,
 different values different ones, and the key's holder can invert them.
 
-Defined cases. Null text stays null, with nothing found. What is not valid stays as it is.
+Defined cases. Telephone numbers after +1 or with the area code in brackets have any area
+code; without either, one from 2 to 9, and the pseudonym of such a number may begin otherwise.
+Null text stays null, with nothing found. What is not valid stays as it is.
 Repeated rows change alike. Empty tables give no rows. Other columns are ignored.
 """
 
@@ -26,7 +28,7 @@ SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-
 ISO = r"(?<![0-9-])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9-])"
 DMY = r"(?<![0-9.])(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![0-9])"
 MDY = r"(?<![0-9/])(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}(?![0-9/])"
-PHONE = r"(?<![0-9+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\)[ ]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[1-9][0-9]{7,14}(?![0-9])"
+PHONE = r"(?<![0-9+])(?:\+1[ .-]?(?:\([0-9]{3}\)[ ]?|[0-9]{3}[ .-])|\([0-9]{3}\)[ ]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9])\+[1-9][0-9]{7,14}(?![0-9])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 KEY = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"
 #: every match of a kind holds this

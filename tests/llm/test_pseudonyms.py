@@ -13,3 +13,11 @@ def test_texts_that_hold_only_a_key(spark):
     got = pseudonymised(spark, *keys, *[k + " 12" for k in keys])
     for k, alone, beside in zip(keys, got[:2], got[2:]):
         assert [f.kind for f in alone.found] == ["key"] and alone.text != k and beside.text == alone.text + " 12"
+
+
+def test_any_area_code(spark):
+    texts = ["+1 (017) 555-7713", "(117) 555-7713", "+1 017 555 7713", "+1 (578) 555-6437"]
+    got = pseudonymised(spark, *texts)
+    for t, r in zip(texts, got):
+        assert [f.value for f in r.found] == [t] and r.text != t and re.sub("[0-9]", "9", r.text) == re.sub("[0-9]", "9", t)
+    assert all(len(r.found) == 1 for r in pseudonymised(spark, *[r.text for r in got]))
