@@ -1,15 +1,18 @@
-"""Language-model scoring with a log-frequency Bloom filter.
+"""Language-model scoring with sharded log-frequency Bloom filters.
 
 Tokens are white-space separated words (A-Z lower-cased) and one end for each text. Unigram
-counts are exact. A bigram of count c is stored as the levels 1..1+floor(log2 c) in a Bloom
-filter; its count is read back by probing levels until one is absent. The model interpolates:
-log10 P(w | h) = log10((min(c'(hw), c(h)) + MU * base(w)) / (c(h) + MU)), where c' is the read-back
-count and base(w) the unigram estimate.
-
-Counts are gathered as packed arrays by shard of the history's hash, so the rows shuffled are
-few and large. Filters and counts are broadcast in slices of at most SLICE_BYTES; where one
-slice does not hold them, documents are scanned once for each pair of slices (of the history
-and of the word), and the parts of a score are added up. Nothing is pruned.
+counts are exact. A bigram of count c is stored as the levels 1..1+floor(log2 c) in the Bloom
+filter of its shard; its level is read back by probing levels until one is absent, and its count c'
+is the mean count of the bigrams stored at that level. The model interpolates:
+log10 P(w | h) = log10((min(c'(hw), c(h)) + MU * base(w)) / (c(h) + MU)), where base(w) is the
+unigram estimate. For the true counts these add up to 1 over all words; with c' they do so on the
+average over histories, but for false hits of the filters (about 1 % of absent bigrams).
+
+The filters grow with the corpus, so they are not copied to every worker: the n-grams of a
+run of documents (GATHER tokens) travel, packed and each once, to the shard that holds their filter
+and counts, are probed there, and the levels travel back to the run. The corpus is read once whatever
+the model's size; a shard's size does not grow with the corpus, and only one number a level comes to the driver.
+A bigram's shard depends on both its words, so a frequent history is spread over all shards.
 
 Defined cases. Null and empty texts have the end as their only token. A null id counts as the
 text "null" for the fold. Repeated rows are scored alike and counted each. Empty tables
@@ -18,6 +21,7 @@ give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,24 +36,25 @@ FOLDS, HELD = 5, 1
 MU = 300.0
 BITS, HASHES = 10, 5
 LEVELS = 40
-SLICE_BYTES = 160 << 20
-#: bytes of text for each shard of the counts, about
+#: bytes of text for each shard, about
 SHARD_BYTES = 12 << 20
-#: n-grams that a task gathers before it sends them on
-GATHER = 1 << 21
+#: tokens of a run of documents (a longer document is a run of its own)
+GATHER = 3 << 19
 
 END = np.array([0x1F3A95C7D2E4B681], np.uint64)
 START = np.array([0x7C15F39B4E8D2A67], np.uint64)
 
+_CODEC = pa.Codec("zstd", compression_level=1)
+#: kinds of packed rows: one row for each (run, shard) of unigrams and bigrams, and one for the run itself
+RUN, UNI, BI, STAT = 0, 1, 2, 3
+PACKED = "run string, shard int, kind int, keys binary, counts binary"
+PROBED = "run string, shard int, kind int, body binary, more binary, size long, total long"
+
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of a slice, ends included; each token's history; and where documents begin."""
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of a slice, ends included, and how many each document has."""
     words = tk.Words(data, offsets, tk.SPACED)
-    h = np.insert(words.hashes(), words.doc[1:], END[0])
-    doc = words.doc + np.arange(words.doc.size)
-    before = np.concatenate([START, h])[: h.size]
-    before[doc[:-1]] = START[0]
-    return h, before, doc
+    return np.insert(words.hashes(), words.doc[1:], END[0]), words.count + 1
 
 
 def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -57,147 +62,215 @@ def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
         return tk.mix(before * tk.U(0xD6E8FEB86659FD93) + h)
 
 
-def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> tk.U(32)) % tk.U(shards)).astype(np.int64)
+def squeeze(x: np.ndarray) -> bytes:
+    """An array by planes of bytes, compressed."""
+    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(x.size, x.itemsize).T).tobytes(), asbytes=True)
+
+
+def unsqueeze(body: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(_CODEC.decompress(body, n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def _five(key: np.ndarray) -> bytes:
+    """The low 40 bits of each key. The shard is told by other bits, and its keys are few beside 2^40."""
+    return np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _eight(body: bytes) -> np.ndarray:
+    raw = np.zeros((len(body) // 5, 8), np.uint8)
+    raw[:, :5] = np.frombuffer(body, np.uint8).reshape(-1, 5)
+    return raw.view(np.uint64).ravel()
+
 
+def bigrams(index: np.ndarray, count: np.ndarray, salt: np.ndarray, shards: int):
+    """Distinct bigrams of a run in the order of their shards: (histories, words, cuts between shards, place of each token's bigram).
 
-def _pack(kind: int, shard: np.ndarray, key: np.ndarray, count: np.ndarray, shards: int) -> Iterator[tuple]:
+    Words are numbers below salt.size, and salt.size is the start.
+    """
+    n = salt.size
+    before = np.empty(index.size, np.int64)
+    before[1:] = index[:-1]
+    before[np.cumsum(count) - count] = n
+    code, place = np.unique(before * (n + 1) + index, return_inverse=True)
+    hist, word = code // (n + 1), code % (n + 1)
+    salted = np.append(salt, np.uint32(START[0] & tk.U(0xFFFFFFFF))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        shard = (tk.mix((salted[hist] << tk.U(32)) ^ salted[word]) % tk.U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    key, count = key[order], np.minimum(count[order], 0xFFFFFFFF).astype(np.uint32)
-    for s in range(shards):
-        a, b = cut[s], cut[s + 1]
-        if b > a:
-            yield s, kind, key[a:b].tobytes(), count[a:b].tobytes()
+    back = np.empty(order.size, np.int64)
+    back[order] = np.arange(order.size)
+    return hist[order], word[order], np.searchsorted(shard[order], np.arange(shards + 1)), back[place]
 
 
-def _gather(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            h, before = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            key, count = np.unique(h, return_counts=True)
-            rows = list(_pack(1, shard_of(key, shards), key, count, shards))
-            key, at, count = np.unique(pair(before, h), return_index=True, return_counts=True)
-            rows += list(_pack(2, shard_of(before[at], shards), key, count, shards))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["shard", "kind", "keys", "counts"])
+def _pack(shards: int, gather: int):
+    """Runs of documents as packed rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            h, count, docs = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.concat_tables([x[2] for x in held]).combine_chunks()
+            held.clear()
+            name = hashlib.blake2b(h.tobytes(), digest_size=12)
+            ids = docs.column("id").combine_chunks()
+            fixed = [np.asarray(ids.fill_null(0)), np.asarray(ids.is_null()), np.asarray(docs.column("tx")), np.asarray(docs.column("held"))]
+            name.update(b"".join(x.tobytes() for x in fixed))
+            key, index = np.unique(h, return_inverse=True)
+            shard = ((key >> tk.U(32)) % tk.U(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            back = np.empty(order.size, np.int64)
+            back[order] = np.arange(order.size)
+            key, shard, index = key[order], shard[order], back[index]
+            salt = (key & tk.U(0xFFFFFFFF)).astype(np.uint32)
+            train = np.repeat(~fixed[3].astype(bool), count)
+            seen = np.bincount(index[train], minlength=key.size).astype(np.uint32)
+            cut = np.searchsorted(shard, np.arange(shards + 1))
+            rows = [(s, UNI, key[a:b].tobytes(), squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            hist, word, cut, place = bigrams(index, count, salt, shards)
+            seen = np.bincount(place[train], minlength=hist.size).astype(np.uint32)
+            two = pair(np.append(key, START)[hist], key[word])
+            rows += [(s, BI, _five(two[a:b]), squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            head = np.array([count.size, h.size, key.size], np.int64)
+            body = b"".join(x.tobytes() for x in (head, fixed[0].astype(np.int64), fixed[2].astype(np.int64), count.astype(np.int64), salt, fixed[1].astype(np.uint8), fixed[3].astype(np.uint8)))
+            rows.append((int(name.hexdigest()[:8], 16) % shards, RUN, squeeze(index.astype(np.uint32)), body))
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([name.hexdigest()] * len(rows)), *columns], ["run", "shard", "kind", "keys", "counts"])
+
+        size = 0
         for batch in batches:
-            for _, _, data, offsets in tk.slices(batch.column("text")):
-                h, before, _ = tokens(data, offsets)
-                held.append((h, before))
-                if sum(x[0].size for x in held) >= GATHER:
+            for a, b, data, offsets in tk.slices(batch.column("text")):
+                h, count = tokens(data, offsets)
+                if held and size + h.size > gather:
                     yield flush()
+                    size = 0
+                held.append((h, count, pa.table({c: batch.column(c).slice(a, b - a) for c in ("id", "tx", "held")})))
+                size += h.size
         if held:
             yield flush()
 
     return run
 
 
-def _probe_at(key: np.ndarray, level: int, i: int, size) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return tk.mix(key + tk.U(level * HASHES + i + 1) * tk._MULT) % size
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    """One shard: exact unigram counts and the filter of its bigrams."""
-    out = []
-    kinds = table.column("kind").to_numpy()
-    for kind in (1, 2):
-        part = table.filter(pa.array(kinds == kind))
-        if not part.num_rows:
-            continue
-        key = np.concatenate([np.frombuffer(x, np.uint64) for x in part.column("keys").to_pylist()])
-        count = np.concatenate([np.frombuffer(x, np.uint32) for x in part.column("counts").to_pylist()]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        key, count = key[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, count = key[first], np.add.reduceat(count, first)
-        if kind == 1:
-            out.append((table.column("shard")[0].as_py(), 1, key.tobytes(), count.tobytes(), int(key.size), int(count.sum())))
-            continue
-        levels = np.minimum(np.log2(count).astype(np.int64) + 1, LEVELS)
-        size = int(levels.sum()) * BITS + 64
-        bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max()) + 1):
-            k = key[levels >= level]
+class Filter:
+    """A log-frequency Bloom filter: keys with their counts' levels."""
+
+    def __init__(self, key: np.ndarray, count: np.ndarray, bits: int = BITS):
+        key, count = key[count > 0], count[count > 0]
+        self.levels = np.minimum(np.frexp(count.astype(np.float64))[1], LEVELS)
+        self.size = int(self.levels.sum()) * bits + 64
+        table = np.zeros(self.size, bool)
+        for level in range(1, int(self.levels.max(initial=0)) + 1):
+            k = key[self.levels >= level]
             for i in range(HASHES):
-                bits[_probe_at(k, level, i, tk.U(size))] = True
-        out.append((table.column("shard")[0].as_py(), 2, np.packbits(bits, bitorder="little").tobytes(), b"", size, 0))
-    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["shard", "kind", "body", "counts", "size", "total"])
-
-
-class Counts:
-    """Exact counts of the tokens of some shards."""
-
-    def __init__(self, rows: list):
-        key = np.concatenate([np.frombuffer(r.body, np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-        count = np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows] or [np.zeros(0, np.int64)])
-        order = np.argsort(key)
-        self.key, self.count = key[order], count[order]
+                table[self._at(k, level, i)] = True
+        self.bits = np.packbits(table, bitorder="little")
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(h.size, np.int64)
-        if self.key.size and h.size:
-            order = np.argsort(h)
-            at = np.minimum(np.searchsorted(self.key, h[order]), self.key.size - 1)
-            out[order] = np.where(self.key[at] == h[order], self.count[at], 0)
-        return out
+    def _at(self, key: np.ndarray, level: int, i: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (tk.mix(key + tk.U(level * HASHES + i + 1) * tk._MULT) % tk.U(self.size)).astype(np.int64)
 
-
-class Filter:
-    """Log-frequency Bloom filters of some shards, one after the other."""
-
-    def __init__(self, rows: list, shards: int):
-        self.base, self.size = np.zeros(shards, np.uint64), np.ones(shards, np.uint64)
-        at = 0
-        for r in rows:
-            self.base[r.shard], self.size[r.shard] = at, r.size
-            at += 8 * len(r.body)
-        self.have = np.zeros(shards, bool)
-        self.have[[r.shard for r in rows]] = True
-        self.bits = np.frombuffer(b"".join(r.body for r in rows) or b"\0", np.uint8)
-
-    def count(self, key: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        """About the count of each key: the middle of the range of its highest level."""
-        level = np.zeros(key.size, np.int64)
-        live = np.flatnonzero(self.have[shard])
+    def level(self, key: np.ndarray) -> np.ndarray:
+        """The highest level to which each key is present, 0 if it is absent."""
+        level = np.zeros(key.size, np.uint8)
+        live = np.arange(key.size)
         for j in range(1, LEVELS + 1):
             for i in range(HASHES):
-                at = self.base[shard[live]] + _probe_at(key[live], j, i, self.size[shard[live]])
-                live = live[(self.bits[(at >> tk.U(3)).astype(np.int64)] >> (at & tk.U(7)).astype(np.uint8)) & 1 == 1]
+                at = self._at(key[live], j, i)
+                live = live[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
             if not live.size:
                 break
             level[live] = j
-        return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
+        return level
+
+
+def _probe(bits: int):
+    """One shard: the counts of its unigrams and the levels of its bigrams for each run; runs pass through; statistics by level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        shard = table.column("shard")[0].as_py()
+        kinds = table.column("kind").to_numpy()
+        for kind in (UNI, BI):
+            part = table.filter(pa.array(kinds == kind))
+            if not part.num_rows:
+                continue
+            keys = [np.frombuffer(x, np.uint64) if kind == UNI else _eight(x) for x in part.column("keys").to_pylist()]
+            counts = [unsqueeze(x, k.size, np.uint32) for k, x in zip(keys, part.column("counts").to_pylist())]
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts), key.size).astype(np.int64)
+            if kind == UNI:
+                value = total
+                out.append(("", 0, STAT, None, None, int((total > 0).sum()), int(total.sum())))
+            else:
+                found = Filter(key, total, bits)
+                value = found.level(key)
+                own = total[total > 0]
+                out += [("", j, STAT, None, None, int((found.levels == j).sum()), int(own[found.levels == j].sum())) for j in np.unique(found.levels).tolist()]
+            cut = np.cumsum([k.size for k in keys])[:-1]
+            for name, v in zip(part.column("run").to_pylist(), np.split(value[at], cut)):
+                out.append((name, shard, kind, squeeze(v), None, v.size, 0))
+        for r in table.filter(pa.array(kinds == RUN)).select(["run", "keys", "counts"]).to_pylist():
+            out.append((r["run"], shard, RUN, r["keys"], r["counts"], 0, 0))
+        types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["run", "shard", "kind", "body", "more", "size", "total"])
 
+    return run
 
-def _score(shared, shards: int, hist: tuple[int, int], word: tuple[int, int], n: int, v: int, texts: int, first: bool):
-    """Parts of the scores from tokens whose history and word are in two ranges of shards; texts begin as often as they were counted."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts_h, counts_w, bloom = shared.value
-        for batch in batches:
-            for a, b, data, offsets in tk.slices(batch.column("text")):
-                h, before, doc = tokens(data, offsets)
-                c = counts_w.find(h)
-                base = (c + 0.5) / (n + 0.5 * (v + 1))
-                sh, sw = shard_of(before, shards), shard_of(h, shards)
-                own = (sw >= word[0]) & (sw < word[1])
-                both = own & (sh >= hist[0]) & (sh < hist[1])
-                ch = counts_h.find(before)
-                ch[before == START[0]] = texts
-                got = bloom.count(pair(before, h), sh)
-                p = np.log10((np.minimum(got, ch) + MU * base) / (ch + MU))
-
-                def summed(x):
-                    s = np.concatenate([[0.0], np.cumsum(x)])
-                    return s[doc[1:]] - s[doc[:-1]]
-
-                cols = [pa.array((doc[1:] - doc[:-1]).astype(np.int64)), pa.array(summed(own & (c > 0)).astype(np.int64) if first else np.zeros(b - a, np.int64)), pa.array(summed(np.where(own, np.log10(base), 0.0)) if first else np.zeros(b - a)), pa.array(summed(np.where(both, p, 0.0)))]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("tx").slice(a, b - a), *cols], ["id", "tx", "n_tokens", "n_known", "base_score", "score"])
+def _score(shards: int, n: int, v: int, means: list[float]):
+    mean = np.array(means)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        back: dict[tuple[int, int], bytes] = {(r["kind"], r["shard"]): r for r in rows if r["kind"] != RUN}  # equal runs have equal answers
+
+        def answers(kind: int, cut: np.ndarray, dtype: type) -> np.ndarray:
+            parts = []
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                r = back.get((kind, s))
+                if r is None or r["size"] != cut[s + 1] - cut[s]:
+                    raise ValueError("the documents were read again in another order; pass a table that is stored")
+                parts.append(unsqueeze(r["body"], r["size"], dtype))
+            return np.concatenate(parts)
+
+        sizes = {k: np.array([back[k, s]["size"] if (k, s) in back else 0 for s in range(shards)]) for k in (UNI,)}
+        out = []
+        for r in rows:
+            if r["kind"] != RUN:
+                continue
+            raw = r["more"]
+            docs, size, words = np.frombuffer(raw, np.int64, 3).tolist()
+            ids, tx, count = (np.frombuffer(raw, np.int64, docs, 24 + 8 * docs * i) for i in range(3))
+            at = 24 + 24 * docs
+            salt = np.frombuffer(raw, np.uint32, words, at)
+            none, held = (np.frombuffer(raw, np.uint8, docs, at + 4 * words + docs * i).astype(bool) for i in range(2))
+            index = unsqueeze(r["body"], size, np.uint32).astype(np.int64)
+            c = answers(UNI, np.concatenate([[0], np.cumsum(sizes[UNI])]), np.int64)
+            if c.size != words:
+                raise ValueError("the documents were read again in another order; pass a table that is stored")
+            hist, word, cut, place = bigrams(index, count, salt, shards)
+            level = answers(BI, cut, np.uint8)
+            begin = np.cumsum(count) - count
+            texts = c[index[begin[0] + count[0] - 1]]  # ends are as many as training texts
+            ch = np.append(c, texts)[hist].astype(np.float64)
+            base = (c + 0.5) / (n + 0.5 * (v + 1))
+            p = np.log10((np.minimum(mean[level], ch) + MU * base[word]) / (ch + MU))
+            out.append(
+                pa.table(
+                    {
+                        "id": pa.array(ids, mask=none),
+                        "tx": pa.array(tx),
+                        "held_out": pa.array(held),
+                        "n_tokens": pa.array(count),
+                        "n_known": pa.array(np.add.reduceat((c > 0)[index].astype(np.int64), begin)),
+                        "base_score": pa.array(np.add.reduceat(np.log10(base)[index], begin)),
+                        "score": pa.array(np.add.reduceat(p[place], begin)),
+                    }
+                )
+            )
+        return pa.concat_tables(out)
 
     return run
 
@@ -206,42 +279,17 @@ def held_out(id_col):
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")), F.lit(FOLDS)) == HELD
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, bits: int = BITS, gather: int = GATHER) -> DataFrame:
     """A row for each document: id, tx, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
-    train = rows.filter(~held_out(F.col("id")))
-    size, texts = train.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    size = size or 0
-    shards = max(12, size // SHARD_BYTES + 1)
-    packed = train.select("text").mapInArrow(_gather(shards), "shard int, kind int, keys binary, counts binary")
-    model = written(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_merge, "shard int, kind int, body binary, counts binary, size long, total long"), "lm-shards")
-    about = model.select("shard", (F.octet_length("body") + F.octet_length("counts")).alias("bytes"), F.when(F.col("kind") == 1, F.col("size")).otherwise(0).alias("v"), "total")
-    about = about.groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.sum("v").alias("v"), F.sum("total").alias("n")).orderBy("shard").collect()  # a row a shard
-    n, v = sum(r.n for r in about), sum(r.v for r in about)
-    ranges, start, held = [], 0, 0
-    for r in about:
-        if held and held + r.bytes > slice_bytes:
-            ranges.append((start, r.shard))
-            start, held = r.shard, 0
-        held += r.bytes
-    ranges.append((start, shards))
-
-    def load(kind: int, span: tuple[int, int]) -> list:
-        return model.filter((F.col("kind") == kind) & (F.col("shard") >= span[0]) & (F.col("shard") < span[1])).collect()  # slice_bytes at most
-
-    parts = []
-    for i, hist in enumerate(ranges):
-        counts_h, bloom = Counts(load(1, hist)), Filter(load(2, hist), shards)
-        for j, word in enumerate(ranges):
-            counts_w = counts_h if i == j else Counts(load(1, word))
-            shared = spark.sparkContext.broadcast((counts_h, counts_w, bloom))
-            parts.append(rows.mapInArrow(_score(shared, shards, hist, word, n, v, texts, i == 0), "id long, tx long, n_tokens long, n_known long, base_score double, score double"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        times = F.count(F.lit(1)) / len(parts)  # repeated rows give each part as often
-        out = out.groupBy("id", "tx").agg(F.first("n_tokens").alias("n_tokens"), (F.sum("n_known") / times).cast("long").alias("n_known"), (F.sum("base_score") / times).alias("base_score"), (F.sum("score") / times).alias("score"), times.cast("int").alias("times"))
-        out = out.withColumn("time", F.explode(F.sequence(F.lit(1), "times")))
-    return out.select("id", "tx", held_out(F.col("id")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    key = F.col(id_col).cast("long")
+    rows = docs.select(key.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), held_out(key).alias("held"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(12, size // shard_bytes + 1)
+    packed = rows.mapInArrow(_pack(shards, gather), PACKED)
+    probed = written(packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_probe(bits), PROBED), "lm-probed")
+    stats = {r.shard: r for r in probed.filter(F.col("kind") == STAT).groupBy("shard").agg(F.sum("size").alias("size"), F.sum("total").alias("total")).collect()}  # a row a level
+    n, v = (stats[0].total, stats[0].size) if stats else (0, 0)
+    means = [0.0] + [stats[j].total / stats[j].size if j in stats else 0.0 for j in range(1, LEVELS + 1)]
+    schema = "id long, tx long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    out = probed.filter(F.col("kind") != STAT).groupBy("run").applyInArrow(_score(shards, n, v, means), schema)
+    return out.select("id", "tx", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: paths of written tables that no sweep has deleted yet
+_LIVE: list[str] = []
 
 
 def root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. One is made here where it is unset and all is on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="quillforge-")
@@ -29,7 +33,26 @@ def written(df: DataFrame, name: str, sort: list[str] | None = None, **options:
     if sort:
         df = df.sortWithinPartitions(*sort)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    _LIVE.append(path)
+    return out
+
+
+def mark() -> int:
+    """What sweep() takes as the begin of an operator's own tables."""
+    return len(_LIVE)
+
+
+def sweep(spark: SparkSession, since: int, *keep: DataFrame | None) -> None:
+    """Deletes tables written since the mark but for keep: what is left to read must be in keep."""
+    stay = {getattr(df, "_scratch", None) for df in keep}
+    mine = _LIVE[since:]
+    _LIVE[since:] = [p for p in mine if p in stay]
+    for p in mine:
+        if p not in stay:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(col):

@@ -118,13 +118,13 @@ def test_chunks(docs):
         assert r.n_bytes - r.n_removed == (len(r.kept) if r.kept is not None else r.n_bytes)
 
 
-@pytest.mark.parametrize("slice_bytes", [lm_score.SLICE_BYTES, 9000])
-def test_scores(docs, slice_bytes):
+@pytest.mark.parametrize("shard_bytes", [lm_score.SHARD_BYTES, 900])
+def test_scores(docs, shard_bytes):
     toks = {i: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for i, t in enumerate(TEXTS)}
     fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     count = Counter(x for r in docs.collect() if not fold(r.doc_id) for x in toks[r.doc_id])
     n, v = sum(count.values()), len(count)
-    for r in lm_score.scores(docs, slice_bytes=slice_bytes).collect():
+    for r in lm_score.scores(docs, shard_bytes=shard_bytes).collect():
         base = sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks[r.id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold(r.id), len(toks[r.id]), sum(count[x] > 0 for x in toks[r.id]), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
