@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .components import components
 from .keep import pick_texts
-from .scratch import split_join, written
+from .scratch import mark, split_join, sweep, written
 
 K = 64
 MISSED = 1e-8
@@ -205,20 +205,23 @@ def _alike(least: int):
 
 def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Pairs (u, v) with the values x of u and y of v. A class in many pairs is dealt out in parts of 500."""
-    degree = pairs.groupBy("u").agg((F.floor(F.count(F.lit(1)) / 500) + 1).cast("long").alias("parts"))
+    degree = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("pairs")).withColumn("parts", (F.floor(F.col("pairs") / 500) + 1).cast("long"))
     many = degree.filter("parts > 1")
-    p = split_join(pairs, many, "u", "parts", 1 << 40).withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))) + 1).drop("parts")
+    p = split_join(pairs, many, "u", "pairs", pairs.count()).withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))) + 1).drop("parts", "pairs")
     left = table.join(degree.withColumnRenamed("u", "num"), "num").select(F.col("num").alias("u"), F.col(value).alias("x"), F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"))
     return p.join(table.select(F.col("num").alias("v"), F.col(value).alias("y")), "v").join(left, ["u", "part"]).select("u", "v", "x", "y")
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs of classes (u, v) whose full sets are similar enough; sets are made from the texts of the classes in question."""
+    since = mark()
     named = pairs.select(F.col("u").alias("num")).unionByName(pairs.select(F.col("v").alias("num"))).distinct()
     wanted = written(reps.select("num", "id", "tx").join(named, "num", "left_semi"), "near-wanted")
     texts = pick_texts(docs, wanted, id_col, text_col)
     sets = written(texts.join(wanted, ["id", "tx"]).select("num", "text").mapInArrow(_sets, "num long, shingles binary"), "near-sets")
-    return written(beside(pairs, sets, "shingles").mapInArrow(_confirm(least), "u long, v long"), "near-links")
+    links = written(beside(pairs, sets, "shingles").mapInArrow(_confirm(least), "u long, v long"), "near-links")
+    sweep(docs.sparkSession, since, links)
+    return links
 
 
 class Sets:
@@ -318,16 +321,17 @@ def _blocks(rows: DataFrame, key: str, blocks, value: str) -> DataFrame:
     return rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), value)
 
 
-def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame | None:
+def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFrame, posts: int, least: int, id_col: str, text_col: str) -> DataFrame | None:
     """Links between components that share a posting list, enough of them to join all that belong together.
 
     Members that match one of another component by signature are gathered, with all that
     they lead to, into groups; a group's members are compared on their full sets, in
     pairs of blocks. What is written grows with the members, not with their pairs.
     """
+    since = mark()
     rows = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("c")).filter("a <> b").select("token", "c")
-    rows = split_join(rows, mixed, "token", "c", 1 << 40).filter("c is not null")
+    rows = split_join(rows, mixed, "token", "c", posts).filter("c is not null")
     rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num")
     rows = _blocks(rows, "token", (F.floor((F.col("c") - 1) / BLOCK) + 1).cast("long"), "sig")
     met = written(rows.groupBy("token", "i", "j").applyInArrow(_meeting(least), "num long, label long, root long"), "near-met")
@@ -344,7 +348,9 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFra
     size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("all"))
     rows = split_join(members.select("num", "label", "grp", "m"), size, "grp", "c", total).join(sets, "num")
     rows = _blocks(rows, "grp", F.greatest(F.floor((F.col("c") - 1) / BLOCK), F.floor(F.col("all") / BLOCK_SHINGLES)).cast("long") + 1, "shingles")
-    return written(rows.groupBy("grp", "i", "j").applyInArrow(_verified(least), "u long, v long"), "near-links")
+    links = written(rows.groupBy("grp", "i", "j").applyInArrow(_verified(least), "u long, v long"), "near-links")
+    sweep(docs.sparkSession, since, links)
+    return links
 
 
 def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total: int, least: int) -> DataFrame:
@@ -361,7 +367,7 @@ def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 85) -> DataFrame:
     """A row for each row of docs: id, tx, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
     sigs = written(rows.mapInArrow(_signatures, "id long, tx long, n long, cls binary, sig binary"), "near-sigs")
     linked = sigs.filter("id is not null and cls is not null")
@@ -371,24 +377,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = written(reps.select("sig", "num").mapInArrow(_post(order, K - matches(least) + 1), "token long, num long"), "near-posts")
     total = posted.count()
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num", "n"), "near-lists")
-    met = shared.groupBy("num").agg(F.sum("n").alias("met"))
-    shared = written(shared.select("token", "num").join(met, "num"), "near-lists")
-    links = None
+    listed = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num", "n"), "near-lists")
+    met = listed.groupBy("num").agg(F.sum("n").alias("met"))
+    shared = written(listed.select("token", "num").join(met, "num"), "near-lists")
+    posts = shared.count()
+    sweep(spark, since, sigs, reps, shared)
+    links, found, known = None, [], None
     labels = spark.createDataFrame([], "num long, label long")
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
-            pairs = written(_stars(shared, labels, reps, k, total, least), "near-pairs")
+            pairs = written(_stars(shared, labels, reps, k, posts, least), "near-pairs")
             new = None if pairs.isEmpty() else confirmed(docs, pairs, reps, least, id_col, text_col)
         else:
-            new = _across(docs, shared, labels, reps, least, id_col, text_col)
+            new = _across(docs, shared, labels, reps, posts, least, id_col, text_col)
         if new is not None and not new.isEmpty():
             links = new if links is None else links.unionByName(new)
-            labels = components(links).withColumnRenamed("node", "num")
+            found.append(new)
+            known = components(links)
+            labels = known.withColumnRenamed("node", "num")
+        sweep(spark, since, sigs, reps, shared, known, *found)
     # a class is labelled by its component, a row by its class
     sized = reps.select("num", "id", "cls", "rows").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     least_id = sized.groupBy("label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("classes"))
-    sized = written(split_join(sized.select("cls", "rows", "label"), least_id, "label", "classes", total).filter("rows > 1 or classes > 1").select("cls", "rows", "component"), "near-components")
-    out = split_join(sigs.select("id", "tx", "n", "cls"), sized, "cls", "rows", total)
+    sized = written(split_join(sized.select("cls", "rows", "label"), least_id, "label", "classes", reps.count()).filter("rows > 1 or classes > 1").select("cls", "rows", "component"), "near-components")
+    sweep(spark, since, sigs, sized)
+    out = split_join(sigs.select("id", "tx", "n", "cls"), sized, "cls", "rows", sigs.count())
     component = F.when(F.col("cls").isNull() | F.col("component").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select("id", "tx", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
