@@ -12,8 +12,8 @@ BROADCAST_IDS = 1_000_000
 FILTER_WORDS = 1 << 17
 
 
-def pick_texts(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tx, text), one row for each (id, tx) of wanted. A bit filter of fixed size keeps most other texts out of the shuffle.
+def pick_texts(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, tx, text, and the columns of wanted in carry, which are one value for each id and tx), one row for each (id, tx) of wanted. A bit filter of fixed size keeps most other texts out of the shuffle.
 
     The second join is an inner one with distinct rows: a semi join would be pushed below the
     filter and shuffle every text. Both it and the grouping are by one hash, so texts are shuffled once.
@@ -24,10 +24,11 @@ def pick_texts(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).alias("text"))
     rows = rows.withColumn("slot", slot).join(F.broadcast(words), "slot").filter(F.col("mask").bitwiseAND(bit) != 0)
     rows = rows.select(F.xxhash64("tx", "id").alias("at"), "id", "tx", "text")
-    wanted = wanted.select(F.xxhash64("tx", "id").alias("w_at"), F.col("id").alias("w_id"), F.col("tx").alias("w_tx")).distinct()
+    wanted = wanted.select(F.xxhash64("tx", "id").alias("w_at"), F.col("id").alias("w_id"), F.col("tx").alias("w_tx"), *carry)
+    wanted = wanted if carry else wanted.distinct()
     same = F.when(F.col("id").isNull(), F.col("w_id").isNull()).otherwise(F.col("id") == F.col("w_id")) & (F.col("tx").bitwiseXOR(F.col("w_tx")) == 0)
     rows = rows.join(wanted, (F.col("at") == F.col("w_at")) & same)
-    return rows.groupBy("at", "id", "tx").agg(F.first("text").alias("text")).select("id", "tx", "text")
+    return rows.groupBy("at", "id", "tx").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in carry)).select("id", "tx", "text", *carry)
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,7 +75,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> list[
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("tx", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("tx", pa.int64()), ("n", pa.int64()), ("cls", pa.binary()), ("sig", pa.binary()), ("short", pa.binary())])
     for batch in batches:
         for a, b, data, offsets in tk.slices(batch.column("text")):
             sets = shingle_sets(data, offsets)
@@ -92,7 +92,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest[full, 0] = np.add.reduceat(tk.mix(g ^ tk.U(0x5851F42D4C957F2D)), at)
                     digest[full, 1] = np.add.reduceat(tk.mix(g + tk.U(0x14057B7EF767814F)), at)
             none = count == 0
-            cls, s = digest.tobytes(), sig.tobytes()
+            cls, s, low = digest.tobytes(), sig.tobytes(), sig.astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").slice(a, b - a),
@@ -100,6 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(count.astype(np.int64)),
                     pa.array([None if none[i] else cls[16 * i : 16 * i + 16] for i in range(b - a)], pa.binary()),
                     pa.array([None if none[i] else s[4 * K * i : 4 * K * (i + 1)] for i in range(b - a)], pa.binary()),
+                    pa.array([None if none[i] else low[K * i : K * (i + 1)] for i in range(b - a)], pa.binary()),
                 ],
                 schema=schema,
             )
@@ -110,6 +111,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), K)
 
 
+def _short(column: pa.Array) -> np.ndarray:
+    """Short signatures as a matrix of bytes. Coordinates that agree agree in their low bytes, so no match is lost."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), K)
+
+
 def _tokens(sig: np.ndarray) -> np.ndarray:
     """A 64-bit token for each coordinate and value."""
     with np.errstate(over="ignore"):
@@ -170,22 +176,35 @@ def _post(shared, prefix: int):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in tk.slices(batch.column("text")):
-            yield pa.RecordBatch.from_arrays([batch.column("num").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["num", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("num").slice(a, b - a), batch.column("to").slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(data, offsets)], pa.binary())], ["num", "to", "shingles"])
+
+
+def sent(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The sets of wanted (id, tx, num, to: array of structs), a row for each struct: its fields, num and shingles. Texts are shuffled once."""
+    kind = wanted.schema["to"].dataType.simpleString()
+    made = pick_texts(docs, wanted, id_col, text_col, ("num", "to")).select("num", "to", "text").mapInArrow(_sets, f"num long, to {kind}, shingles binary")
+    return made.select("num", F.explode("to").alias("to"), "shingles").select("num", "to.*", "shingles")
 
 
 def _confirm(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+    """The links of a leader u (side 0) to the members of one part of its pairs."""
+
+    def run(part: pa.Table) -> pa.Table:
+        side, num = part.column("side").to_numpy(), part.column("num").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column("shingles")]
+        u, v = [], []
+        for lead in np.flatnonzero(side == 0)[:1].tolist():
+            a = sets[lead]
+            for i in np.flatnonzero(side == 1).tolist():
+                b = sets[i]
                 if 100 * min(a.size, b.size) < least * max(a.size, b.size):
                     continue
                 both = np.sort(np.concatenate([a, b]))
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= least * (a.size + b.size - common):
-                    keep.append(i)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+                    u.append(int(num[lead]))
+                    v.append(int(num[i]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -197,7 +216,7 @@ def _alike(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                same = (_matrix(batch.column("x")) == _matrix(batch.column("y"))).sum(axis=1)
+                same = (_short(batch.column("x")) == _short(batch.column("y"))).sum(axis=1)
                 yield batch.select(["u", "v"]).filter(pa.array(same >= need))
 
     return run
@@ -213,13 +232,20 @@ def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs of classes (u, v) whose full sets are similar enough; sets are made from the texts of the classes in question."""
-    since = mark()
-    named = pairs.select(F.col("u").alias("num")).unionByName(pairs.select(F.col("v").alias("num"))).distinct()
-    wanted = written(reps.select("num", "id", "tx").join(named, "num", "left_semi"), "near-wanted")
-    texts = pick_texts(docs, wanted, id_col, text_col)
-    sets = written(texts.join(wanted, ["id", "tx"]).select("num", "text").mapInArrow(_sets, "num long, shingles binary"), "near-sets")
-    links = written(beside(pairs, sets, "shingles").mapInArrow(_confirm(least), "u long, v long"), "near-links")
+    """Pairs of classes (u, v), each v once, whose full sets are similar enough; sets are made from the texts of the classes in question.
+
+    The set of v is sent to a part of u's pairs, that of u to every part; a part has about BLOCK_SHINGLES shingles.
+    """
+    since, total = mark(), pairs.count()
+    own = reps.select("num", "id", "tx", "n")
+    members = pairs.join(own.withColumnRenamed("num", "v"), "v")
+    parts = members.groupBy("u").agg(F.count(F.lit(1)).alias("pairs"), (F.floor(F.sum("n") / BLOCK_SHINGLES) + F.floor(F.count(F.lit(1)) / BLOCK) + 1).cast("long").alias("parts"))
+    many = parts.filter("parts > 1")
+    dealt = split_join(members, many, "u", "pairs", total).select(F.col("v").alias("num"), F.col("u").alias("grp"), F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).alias("part"), F.lit(1).alias("side"))
+    leads = parts.select(F.col("u").alias("num"), F.col("u").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
+    to = dealt.unionByName(leads).groupBy("num").agg(F.collect_list(F.struct("grp", "part", "side")).alias("to"))  # once as v, and once for each part as u
+    wanted = written(own.drop("n").join(to, "num"), "near-wanted")
+    links = written(sent(docs, wanted, id_col, text_col).groupBy("grp", "part").applyInArrow(_confirm(least), "u long, v long"), "near-links")
     sweep(docs.sparkSession, since, links)
     return links
 
@@ -252,7 +278,7 @@ def _meeting(least: int):
 
     def run(part: pa.Table) -> pa.Table:
         left, right, same, la, lb, names = _sides(part)
-        a, b = _matrix(left.column("sig")), _matrix(right.column("sig"))
+        a, b = _short(left.column("sig")), _short(right.column("sig"))
         na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
         joined = Sets(names.size)
         met_a = np.zeros(left.num_rows, bool)
@@ -315,10 +341,10 @@ def _verified(least: int):
     return run
 
 
-def _blocks(rows: DataFrame, key: str, blocks, value: str) -> DataFrame:
+def _blocks(rows: DataFrame, key: str, blocks, *more: str) -> DataFrame:
     """Every pair of blocks of a key's members, as (key, i, j, side)."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("num"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), value)
+    return rows.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "num", "label", F.col("m").alias("n"), *more)
 
 
 def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFrame, posts: int, least: int, id_col: str, text_col: str) -> DataFrame | None:
@@ -332,7 +358,7 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFra
     rows = shared.select("token", "num").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("c")).filter("a <> b").select("token", "c")
     rows = split_join(rows, mixed, "token", "c", posts).filter("c is not null")
-    rows = rows.join(reps.select("num", F.col("n").alias("m"), "sig"), "num")
+    rows = rows.join(reps.select("num", F.col("n").alias("m"), F.col("short").alias("sig")), "num")
     rows = _blocks(rows, "token", (F.floor((F.col("c") - 1) / BLOCK) + 1).cast("long"), "sig")
     met = written(rows.groupBy("token", "i", "j").applyInArrow(_meeting(least), "num long, label long, root long"), "near-met")
     if met.isEmpty():
@@ -343,11 +369,11 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFra
     groups = groups.select(F.col("node").alias("of"), F.col("label").alias("grp")).join(members.groupBy(F.col("label").alias("of")).agg(F.count(F.lit(1)).alias("c")), "of")
     members = split_join(members.select("num", "label", F.col("label").alias("of")), groups, "of", "c", total).select("num", "label", "grp")
     members = written(members.join(reps.select("num", "id", "tx", F.col("n").alias("m")), "num"), "near-members")
-    texts = pick_texts(docs, members, id_col, text_col)
-    sets = written(texts.join(members.select("id", "tx", "num"), ["id", "tx"]).select("num", "text").mapInArrow(_sets, "num long, shingles binary"), "near-sets")
     size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("all"))
-    rows = split_join(members.select("num", "label", "grp", "m"), size, "grp", "c", total).join(sets, "num")
-    rows = _blocks(rows, "grp", F.greatest(F.floor((F.col("c") - 1) / BLOCK), F.floor(F.col("all") / BLOCK_SHINGLES)).cast("long") + 1, "shingles")
+    rows = split_join(members.select("num", "label", "grp", "m"), size, "grp", "c", total)
+    rows = _blocks(rows, "grp", F.greatest(F.floor((F.col("c") - 1) / BLOCK), F.floor(F.col("all") / BLOCK_SHINGLES)).cast("long") + 1)
+    to = rows.groupBy("num").agg(F.collect_list(F.struct("grp", "i", "j", "side", "label", "n")).alias("to"))  # one for each block of its group
+    rows = sent(docs, written(members.select("num", "id", "tx").join(to, "num"), "near-wanted"), id_col, text_col)
     links = written(rows.groupBy("grp", "i", "j").applyInArrow(_verified(least), "u long, v long"), "near-links")
     sweep(docs.sparkSession, since, links)
     return links
@@ -359,19 +385,19 @@ def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total:
     lead = own.groupBy("token").agg(F.min(F.struct((-F.col("met") if k % 2 == 0 else F.xxhash64("num", "token", F.lit(k))).alias("h"), "num", "label")).alias("l"), F.count(F.lit(1)).alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
     lead = lead.select("token", F.col("l.num").alias("lead"), F.col("l.label").alias("lead_label"), "size")
     met = split_join(own, lead, "token", "size", total).filter("lead is not null and lead_label <> label")
-    met = met.groupBy("num", "lead").agg(F.count(F.lit(1)).alias("met"))
+    met = met.select("num", "lead").repartition("num").groupBy("num", "lead").agg(F.count(F.lit(1)).alias("met"))  # both groupings by one shuffle
     pairs = met.groupBy("num").agg(F.max(F.struct("met", "lead")).alias("best")).select(F.col("best.lead").alias("u"), F.col("num").alias("v"))
     pairs = written(pairs, "near-stars")
-    return beside(pairs, reps.select("num", "sig"), "sig").mapInArrow(_alike(least), "u long, v long")
+    return beside(pairs, reps.select("num", "short"), "short").mapInArrow(_alike(least), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 85) -> DataFrame:
     """A row for each row of docs: id, tx, n_shingles, component_id, kept."""
     spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
-    sigs = written(rows.mapInArrow(_signatures, "id long, tx long, n long, cls binary, sig binary"), "near-sigs")
+    sigs = written(rows.mapInArrow(_signatures, "id long, tx long, n long, cls binary, sig binary, short binary"), "near-sigs")
     linked = sigs.filter("id is not null and cls is not null")
-    reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
+    reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"), F.count(F.lit(1)).alias("rows"))
     reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "near-classes")
     order = spark.sparkContext.broadcast(sketch(reps))
     posted = written(reps.select("sig", "num").mapInArrow(_post(order, K - matches(least) + 1), "token long, num long"), "near-posts")
@@ -383,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = shared.count()
     sweep(spark, since, sigs, reps, shared)
     links, found, known = None, [], None
-    labels = spark.createDataFrame([], "num long, label long")
+    labels = spark.sql("select cast(0 as bigint) as num, cast(0 as bigint) as label where false")
     for k in range(ROUNDS + 1):
         if k < ROUNDS:
             pairs = written(_stars(shared, labels, reps, k, posts, least), "near-pairs")
