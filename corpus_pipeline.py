@@ -3,12 +3,12 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame that is written and read again as the next one's docs. All but the last return the
 columns of documents. The stages cope with null and empty texts, repeated rows and empty tables as their operators
-say; a document whose words are all hit loses its text, so it goes.
+say; a document that holds a benchmark passage goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillforge.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
@@ -43,26 +43,11 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with the copy's number, from 1.
+    """Each document as often as the mix takes it, with the copy's number, from 1, in mix_copy (which replaces a column of that name).
 
     Rows that repeat an id, a text and a source share their copies, as many as the mix takes of them.
     """
-    names = docs.columns
-    kept = mixing.mix(docs).groupBy(F.col("id").alias("__qf_id"), F.col("tx").alias("__qf_tx"), F.col("source").alias("__qf_source"))
-    kept = kept.agg(F.sum("copies").alias("__qf_all"), F.count(F.lit(1)).alias("__qf_rows")).filter("`__qf_all` > 0")
-    kept = written(kept, "mix-kept")
-    on = docs["doc_id"].cast("long").eqNullSafe(kept["__qf_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["__qf_tx"]) & docs["source"].cast("string").eqNullSafe(kept["__qf_source"])
-    out = docs.join(kept, on)
-    again = kept.filter("`__qf_rows` > 1")
-    if again.isEmpty():
-        copies = F.col("__qf_all")
-    else:
-        one = out.filter("`__qf_rows` = 1").withColumn("__qf_rank", F.lit(1))
-        order = Window.partitionBy("__qf_id", "__qf_tx", "__qf_source").orderBy(F.xxhash64(*[docs[c] for c in names]))
-        out = one.unionByName(out.filter("`__qf_rows` > 1").withColumn("__qf_rank", F.row_number().over(order)))
-        copies = F.expr("`__qf_all` div `__qf_rows` + if(`__qf_rank` <= `__qf_all` % `__qf_rows`, 1, 0)")
-    out = out.withColumn("__qf_copies", copies.cast("int")).filter("`__qf_copies` > 0")
-    return out.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1), F.col("__qf_copies"))).alias("mix_copy"))
+    return mixing.mixed(docs)
 
 
 STAGES = [
