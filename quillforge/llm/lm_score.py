@@ -73,15 +73,13 @@ def unsqueeze(body: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-def _five(key: np.ndarray) -> bytes:
-    """The low 40 bits of each key. The shard is told by other bits, and its keys are few beside 2^40."""
-    return np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _four(key: np.ndarray) -> bytes:
+    """The low 32 bits of each key. The shard is told by other bits; a shard's keys are few beside 2^32, so fewer are confused than by its filter."""
+    return key.astype(np.uint32).tobytes()
 
 
 def _eight(body: bytes) -> np.ndarray:
-    raw = np.zeros((len(body) // 5, 8), np.uint8)
-    raw[:, :5] = np.frombuffer(body, np.uint8).reshape(-1, 5)
-    return raw.view(np.uint64).ravel()
+    return np.frombuffer(body, np.uint32).astype(np.uint64)
 
 
 def bigrams(index: np.ndarray, count: np.ndarray, salt: np.ndarray, shards: int):
@@ -95,9 +93,9 @@ def bigrams(index: np.ndarray, count: np.ndarray, salt: np.ndarray, shards: int)
     before[np.cumsum(count) - count] = n
     code, place = np.unique(before * (n + 1) + index, return_inverse=True)
     hist, word = code // (n + 1), code % (n + 1)
-    salted = np.append(salt, np.uint32(START[0] & tk.U(0xFFFFFFFF))).astype(np.uint64)
+    salted = np.append(salt, np.uint16(START[0] & tk.U(0xFFFF))).astype(np.uint64)
     with np.errstate(over="ignore"):
-        shard = (tk.mix((salted[hist] << tk.U(32)) ^ salted[word]) % tk.U(shards)).astype(np.int64)
+        shard = (tk.mix((salted[hist] << tk.U(16)) ^ salted[word]) % tk.U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     back = np.empty(order.size, np.int64)
     back[order] = np.arange(order.size)
@@ -123,7 +121,7 @@ def _pack(shards: int, gather: int):
             back = np.empty(order.size, np.int64)
             back[order] = np.arange(order.size)
             key, shard, index = key[order], shard[order], back[index]
-            salt = (key & tk.U(0xFFFFFFFF)).astype(np.uint32)
+            salt = key.astype(np.uint16)
             train = np.repeat(~fixed[3].astype(bool), count)
             seen = np.bincount(index[train], minlength=key.size).astype(np.uint32)
             cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -131,7 +129,7 @@ def _pack(shards: int, gather: int):
             hist, word, cut, place = bigrams(index, count, salt, shards)
             seen = np.bincount(place[train], minlength=hist.size).astype(np.uint32)
             two = pair(np.append(key, START)[hist], key[word])
-            rows += [(s, BI, _five(two[a:b]), squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            rows += [(s, BI, _four(two[a:b]), squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             head = np.array([count.size, h.size, key.size], np.int64)
             body = b"".join(x.tobytes() for x in (head, fixed[0].astype(np.int64), fixed[2].astype(np.int64), count.astype(np.int64), salt, fixed[1].astype(np.uint8), fixed[3].astype(np.uint8)))
             rows.append((int(name.hexdigest()[:8], 16) % shards, RUN, squeeze(index.astype(np.uint32)), body))
@@ -244,8 +242,8 @@ def _score(shards: int, n: int, v: int, means: list[float]):
             docs, size, words = np.frombuffer(raw, np.int64, 3).tolist()
             ids, tx, count = (np.frombuffer(raw, np.int64, docs, 24 + 8 * docs * i) for i in range(3))
             at = 24 + 24 * docs
-            salt = np.frombuffer(raw, np.uint32, words, at)
-            none, held = (np.frombuffer(raw, np.uint8, docs, at + 4 * words + docs * i).astype(bool) for i in range(2))
+            salt = np.frombuffer(raw, np.uint16, words, at)
+            none, held = (np.frombuffer(raw, np.uint8, docs, at + 2 * words + docs * i).astype(bool) for i in range(2))
             index = unsqueeze(r["body"], size, np.uint32).astype(np.int64)
             c = answers(UNI, np.concatenate([[0], np.cumsum(sizes[UNI])]), np.int64)
             if c.size != words:
