@@ -12,6 +12,7 @@ from ..functions import script as J
 from ..functions.css import minify
 from ..operators import corpus as C
 from ..operators import sprites as P
+from . import builds
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -166,12 +167,6 @@ def measure_report(t, spark):
     return C.measure_report(t("events"), "event_type", "value")
 
 
-@_query("""SELECT event_type, min(n) AS n, round(sum(total), 4) AS total FROM (SELECT event_type, user_id, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) GROUP BY 1""")
-def measure_summary(t, spark):
-    g = t("events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    return g.groupBy("event_type").agg(F.min("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
-
-
 @_query("SELECT event_type, user_id % 10 AS part, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ROLLUP (event_type, user_id % 10)")
 def measure_rollup(t, spark):
     return t("events").withColumn("part", F.col("user_id") % 10).rollup("event_type", "part").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
@@ -186,35 +181,12 @@ def snapshot_diff(t, spark):
     return C.snapshot_diff(was, now, "doc_id", "h")
 
 
-@_query("SELECT event_id FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 48 HOUR")
-def cache_expiry(t, spark):
-    e = t("events")
-    return e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now")))).filter(F.expr("ts < now - interval 48 hours")).select("event_id")  # one row beside each
-
-
-@_query("""WITH RECURSIVE s AS (SELECT 1 AS id, 1 AS root, 0 AS depth UNION ALL SELECT id * 2 + b, root, depth + 1 FROM s, (VALUES (0), (1)) AS v(b) WHERE depth < 6)
-SELECT depth, count(*) AS sections, CAST(sum(id) AS BIGINT) AS ids FROM s GROUP BY depth""")
-def section_tree(t, spark):
-    return spark.sql("""WITH RECURSIVE s(id, depth) AS (SELECT 1, 0 UNION ALL SELECT id * 2 + b, depth + 1 FROM s CROSS JOIN (SELECT explode(array(0, 1)) AS b) WHERE depth < 6)
-    SELECT depth, count(*) AS sections, sum(id) AS ids FROM s GROUP BY depth""")
-
-
-@_query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS outputs FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
-def rename_conflict(t, spark):
-    return t("lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("outputs")).filter("outputs > 1")
-
-
 @_query("SELECT event_type, user_id, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, f, user_id) AS place FROM (SELECT event_type, user_id, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2)")
 def freq_rank(t, spark):
     g = t("events").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("f"))
     return g.select("event_type", "user_id", "n", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("n"), "f", "user_id")).alias("place"))
 
 
-@_query("SELECT n_regionkey, bool_and(contains(n_name, 'A')) AS every, bool_or(contains(n_name, 'Z')) AS some, count(*) >= 2 AS two FROM nation GROUP BY 1")
-def override_all_any(t, spark):
-    return t("nation").groupBy("n_regionkey").agg(F.bool_and(F.col("n_name").contains("A")).alias("every"), F.bool_or(F.col("n_name").contains("Z")).alias("some"), (F.count(F.lit(1)) >= 2).alias("two"))
-
-
 @_query("""WITH f AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag))) AS a, list_sort(list_distinct(list(l_linestatus))) AS b FROM lineitem GROUP BY 1)
 SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS all_of, array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ',') AS only_a, array_to_string(list_filter(a, lambda x: list_contains(b, x)), ',') AS both_of FROM f""")
 def selector_sets(t, spark):
@@ -223,45 +195,6 @@ def selector_sets(t, spark):
     return f.select("k", text(F.array_union("a", "b")).alias("all_of"), text(F.array_except("a", "b")).alias("only_a"), text(F.array_intersect("a", "b")).alias("both_of"))
 
 
-@_query("SELECT p_partkey, CASE WHEN p_brand LIKE '%3' THEN 'forced' WHEN contains(p_type, 'STEEL') THEN 'Photo' WHEN p_size > 45 THEN 'NotSupported' WHEN p_size <= 16 THEN 'NonphotoIndexed' ELSE 'NonphotoNonindexed' END AS kind FROM part")
-def image_type(t, spark):
-    kind = F.when(F.col("p_brand").endswith("3"), "forced").when(F.col("p_type").contains("STEEL"), "Photo").when(F.col("p_size") > 45, "NotSupported").when(F.col("p_size") <= 16, "NonphotoIndexed").otherwise("NonphotoNonindexed")
-    return t("part").select("p_partkey", kind.alias("kind"))
-
-
-@_query("SELECT c_custkey, coalesce(o, -1) AS target FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS o FROM orders GROUP BY 1) ON c_custkey = o_custkey")
-def missing_fallback(t, spark):
-    first = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("o"))
-    return t("customer").select("c_custkey").join(first, "c_custkey", "left").select("c_custkey", F.coalesce("o", F.lit(-1)).alias("target"))
-
-
-@_query("SELECT n_name, r_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
-def engine_order_join(t, spark):
-    j = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select("n_name", "r_name", F.row_number().over(Window.partitionBy("r_name").orderBy("n_nationkey")).alias("place"))
-
-
-@_query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-def anti_unlogged(t, spark):
-    return t("orders").select("o_orderkey").join(t("lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
-
-
-@_query("SELECT event_id, coalesce(lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) - event_id, 0) AS gap FROM events")
-def self_time(t, spark):
-    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t("events").select("event_id", F.coalesce(F.lead("event_id").over(line) - F.col("event_id"), F.lit(0)).alias("gap"))
-
-
-@_query("SELECT md5('1.0.11|css|' || md5(text) || '|' || lang) AS section, doc_id FROM documents")
-def section_key(t, spark):
-    return t("documents").select(F.md5(F.concat_ws("|", F.lit("1.0.11"), F.lit("css"), F.md5("text"), "lang")).alias("section"), "doc_id")
-
-
-@_query("SELECT l_orderkey, bool_and(l_linestatus = 'F') AND count(*) > 0 AS can_skip FROM lineitem GROUP BY 1")
-def skip_test(t, spark):
-    return t("lineitem").groupBy("l_orderkey").agg((F.bool_and(F.col("l_linestatus") == "F") & (F.count(F.lit(1)) > 0)).alias("can_skip"))
-
-
 @_query("SELECT count(DISTINCT p_partkey * 17 % 16777216) AS colours, count(DISTINCT p_partkey * 17 % 16777216) <= 256 AS indexable FROM part")
 def distinct_colours(t, spark):
     n = F.countDistinct(F.col("p_partkey") * 17 % 16777216)
@@ -296,7 +229,7 @@ def json_pack(t, spark):
 
 
 @_query("""SELECT p_partkey, CAST(p_partkey + p_size AS DOUBLE) AS plus, CAST(p_partkey AS DOUBLE) / nullif(p_size % 3, 0) AS quotient, CAST(p_partkey & p_size AS DOUBLE) AS both,
-CAST(p_partkey >> (p_size % 8) AS DOUBLE) AS shifted, CASE WHEN p_partkey < p_size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS less FROM part""")
+CAST(p_partkey >> (p_size % 8) AS DOUBLE) AS shifted, p_partkey < p_size AS less FROM part""")
 def literal_folds(t, spark):
     k, s = F.col("p_partkey"), F.col("p_size")
     return t("part").select("p_partkey", J.fold("+", k, s).alias("plus"), J.fold("/", k, s % 3).alias("quotient"), J.fold("&", k, s).alias("both"), J.fold(">>", k, s % 8).alias("shifted"), J.fold("<", k, s).alias("less"))
@@ -315,8 +248,8 @@ def sprite_candidates(t, spark):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | builds.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | builds.oracle_sql()
