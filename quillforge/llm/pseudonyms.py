@@ -2,13 +2,16 @@
 
 Found and validated: e-mail addresses, card numbers (Luhn), US telephone and social security
 numbers, IPv4 addresses, dates (ISO, dd.mm.yyyy, mm/dd/yyyy, within DATE_RANGE) and cloud
-access keys. Each value is permuted among the values of its own format: digits stay digits,
-letters keep their case, cards stay valid, octets and dates stay in range. A permutation
+access keys. Each value is permuted among the values of its own format, and every pseudonym is a
+valid value of it: digits stay digits, letters keep their case, cards and social security
+numbers stay valid, octets and dates stay in range. A permutation
 depends on key and format alone, so equal values get equal pseudonyms in every document,
-different values different ones, and the key's holder can invert them.
+different values different ones, and the key's holder can invert them. The key has no default.
 
 Defined cases. Telephone numbers after +1 or with the area code in brackets have any area
-code; without either, one from 2 to 9, and the pseudonym of such a number may begin otherwise.
+code; without either, one from 2 to 9, which pseudonyms keep to. Others after + keep their first digit
+and what is before the last ten. Of an address the part before @ changes; its letters' case does not count for the
+permutation and is put back. The domain stays.
 Null text stays null, with nothing found. What is not valid stays as it is.
 Repeated rows change alike. Empty tables give no rows. Other columns are ignored.
 """
@@ -19,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
-#: days from 1900-01-01 to 2099-12-31: 73049 = 319 * 229
-FIRST_DAY, LEFT_DAYS, RIGHT_DAYS = "1900-01-01", 319, 229
+#: days from 1900-01-01 to 2099-12-31, two fewer than 319 * 229
+FIRST_DAY, DAYS, LEFT_DAYS, RIGHT_DAYS = "1900-01-01", 73049, 319, 229
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
@@ -102,6 +105,39 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _day(n: str, key: str) -> str:
+    """SQL for the permutation of days. A result beyond the last day is permuted again: two numbers are, so thrice always does."""
+    one = lambda v: _let(_numbers(f"{v} div {RIGHT_DAYS}", f"{v} % {RIGHT_DAYS}", (LEFT_DAYS, RIGHT_DAYS), key, "date"), "q", f"q.x * {RIGHT_DAYS} + q.y")
+    again = lambda v, name: _let(v, name, f"case when {name} < {DAYS} then {name} else {one(name)} end")
+    return again(again(one(n), "d1"), "d2")
+
+
+def _ssn(digits: str, key: str) -> str:
+    """SQL for the permutation of the valid social security numbers: 898 areas, 99 groups, 9999 serials."""
+    area = f"cast(substr({digits}, 1, 3) as bigint)"
+    x = f"({area} - case when {area} > 666 then 2 else 1 end) * 99 + cast(substr({digits}, 4, 2) as bigint) - 1"
+    moved = _numbers(x, f"cast(substr({digits}, 6, 4) as bigint) - 1", (898 * 99, 9999), key, "ssn")
+    return _let(moved, "q", "concat(lpad(cast(q.x div 99 + case when q.x div 99 >= 665 then 2 else 1 end as string), 3, '0'), lpad(cast(q.x % 99 + 1 as string), 2, '0'), lpad(cast(q.y + 1 as string), 4, '0'))")
+
+
+def _phone(m: str, key: str) -> str:
+    """SQL for the digits of a telephone number's pseudonym."""
+
+    def ten(least: int) -> str:
+        moved = _numbers(f"cast(substr(right(d, 10), 1, 3) as bigint) - {least}", "cast(right(d, 7) as bigint)", (1000 - least, 10_000_000), key, f"phone{least}")
+        return _let(moved, "q", f"concat(substr(d, 1, length(d) - 10), lpad(cast(q.x + {least} as string), 3, '0'), lpad(cast(q.y as string), 7, '0'))")
+
+    tail = "right(d, least(10, length(d) - 1))"
+    other = f"concat(substr(d, 1, length(d) - least(10, length(d) - 1)), {_let(tail, 's', feistel('s', key, 'phone'))})"
+    own = f"case when {m} rlike '^[+][0-9]+$' then {other} when {m} rlike '^([+]|[(])' then {ten(0)} else {ten(200)} end"
+    return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", own)
+
+
+def _recased(text: str, like: str) -> str:
+    """text with capitals where like has them."""
+    return f"array_join(transform(sequence(1, length({text})), p -> case when substr({like}, p, 1) between 'A' and 'Z' then upper(substr({text}, p, 1)) else substr({text}, p, 1) end), '')"
+
+
 def kind_of(m: str) -> str:
     """SQL for the kind of a match, null if it is not valid."""
     date = {"date_iso": "yyyy-MM-dd", "date_dmy": "dd.MM.yyyy", "date_mdy": "MM/dd/yyyy"}
@@ -121,9 +157,9 @@ def pseudonym(m: str, kind: str, key: str) -> str:
     """SQL for the pseudonym of a valid match of a kind (a column of its own)."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     cases = {
-        "email": f"concat({_let(f'lower(split_part({m}, {_quoted('@')}, 1))', 's', feistel('s', key, 'email'))}, '@', split_part({m}, '@', 2))",
-        "ssn": _refill(m, _let(digits, "s", feistel("s", key, "ssn"))),
-        "phone": _let(digits, "d", _refill(m, f"concat(substr(d, 1, greatest(0, length(d) - 10)), {_let('right(d, 10)', 's', feistel('s', key, 'phone'))})")),
+        "email": _let(f"split_part({m}, {_quoted('@')}, 1)", "w", _let(_let("lower(w)", "s", feistel("s", key, "email")), "v", f"concat({_recased('v', 'w')}, '@', split_part({m}, '@', 2))")),
+        "ssn": _let(digits, "e", _let(_ssn("e", key), "f", _refill(m, "f"))),
+        "phone": _let(_phone(m, key), "f", _refill(m, "f")),
         "key": f"concat(substr({m}, 1, 4), {_let(f'substr({m}, 5)', 's', feistel('s', key, 'key'))})",
     }
     # a card keeps its first digit; its check digit is computed anew
@@ -134,12 +170,11 @@ def pseudonym(m: str, kind: str, key: str) -> str:
     cases["ip"] = _let(ip, "q", "concat_ws('.', q.x div 256, q.x % 256, q.y div 256, q.y % 256)")
     for name, form in (("date_iso", "yyyy-MM-dd"), ("date_dmy", "dd.MM.yyyy"), ("date_mdy", "MM/dd/yyyy")):
         day = f"datediff(cast(try_to_timestamp({m}, '{form}') as date), date'{FIRST_DAY}')"
-        moved = _let(day, "n", _numbers(f"n div {RIGHT_DAYS}", f"n % {RIGHT_DAYS}", (LEFT_DAYS, RIGHT_DAYS), key, "date"))
-        cases[name] = _let(moved, "q", f"date_format(date_add(date'{FIRST_DAY}', cast(q.x * {RIGHT_DAYS} + q.y as int)), '{form}')")
+        cases[name] = _let(_let(f"cast({day} as bigint)", "n", _day("n", key)), "t", f"date_format(date_add(date'{FIRST_DAY}', cast(t as int)), '{form}')")
     return f"case {kind} " + " ".join(f"when '{k}' then {v}" for k, v in cases.items()) + f" else {m} end"
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "quillforge") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, tx, text (with pseudonyms), found (array of kind, value, pseudonym)."""
     pattern = _quoted("|".join(f"(?:{p})" for p in KINDS.values()))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))

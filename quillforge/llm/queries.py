@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chunk_dedup, decontaminate, exact_dedup, html_extract, lm_score, mixing, near_dedup, pseudonyms, quality, repeats
 
 
+#: setting of the session that holds the key of pseudonyms
+PSEUDONYM_KEY = "spark.quillforge.pseudonyms.key"
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -55,7 +61,9 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"))
+    # the key is a secret of the session; without one, pseudonyms are linked within this run alone
+    key = spark.conf.get(PSEUDONYM_KEY, None) or secrets.token_hex(32)
+    found = pseudonyms.pseudonymise(_read(spark, sf_dir, "documents"), key)
     return found.select(F.col("id").alias("doc_id"), F.size("found").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found.kind")), ",").alias("kinds"), "text")
 
 

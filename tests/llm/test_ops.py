@@ -41,7 +41,7 @@ def test_empty_tables(spark, empty):
     assert repeats.remove_repeats(empty).count() == 0
     assert chunk_dedup.dedup(empty).count() == 0
     assert lm_score.scores(empty).count() == 0
-    assert pseudonyms.pseudonymise(empty).count() == 0
+    assert pseudonyms.pseudonymise(empty, "k").count() == 0
     assert html_extract.extract(pages).count() == 0
 
 
@@ -133,7 +133,7 @@ def test_scores(docs, shard_bytes):
 def test_pseudonyms(spark):
     text = "+1 (578) 555-6437 x@mail0.example.com 4111 1111 1111 1111 4111 1111 1111 1112 27.35.230.171 1984-02-29 1983-02-29 03.11.1999"
     df = spark.createDataFrame([(1, text), (2, "again x@mail0.example.com"), (3, None), (4, "")], "doc_id long, text string")
-    got = {r.id: r for r in pseudonyms.pseudonymise(df).collect()}
+    got = {r.id: r for r in pseudonyms.pseudonymise(df, "k").collect()}
     made = {f.value: f.pseudonym for f in got[1].found}
     assert set(made) == {"+1 (578) 555-6437", "x@mail0.example.com", "4111 1111 1111 1111", "27.35.230.171", "1984-02-29", "03.11.1999"}
     assert all(re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", b) for a, b in made.items() if not re.search("[@]|27", a))
