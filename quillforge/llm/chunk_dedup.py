@@ -3,11 +3,15 @@
 A chunk ends where the gear hash of the last 32 bytes has its low bits zero, but not before
 LEAST bytes nor after MOST; boundaries depend on the bytes around them alone, so an insertion
 shifts no chunk beyond its own. Chunks are told apart by a 128-bit digest; of equal chunks the
-one in the smallest (id, place) stays and the others are removed.
+one in the smallest (id, hash of the text, place) is the first, and the others are repeats. Repeats that follow
+each other in RUN bytes or more, or make up a whole text, are removed; shorter ones, mostly phrases that many
+texts share by chance, stay.
 
-Defined cases. Null and empty texts have no chunks. The last chunk of a text may be short; only
-chunks of LEAST bytes or more are removed. Rows that repeat an id and a text are
-judged alike. Empty tables give no rows. Other columns are ignored.
+Each task sends every digest once, packed, with its first place there (later places in the same task are repeats
+for sure), so a chunk that all documents share sends one entry a task and never gathers in one place.
+
+Defined cases. Null and empty texts have no chunks. Of rows that repeat an id and a text one
+is judged by its chunks and the others are removed whole. A null id is the smallest. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .keep import pick_texts
-from .scratch import split_join, written
+from .scratch import mark, sweep, written
 
 LEAST, MOST = 40, 1024
 MASK = np.uint32((1 << 5) - 1) << np.uint32(27)
+RUN = 120
+#: chunks that a task gathers before it sends them on, and bytes of text for each shard of the digests, about
+GATHER, SHARD_BYTES = 1 << 18, 16 << 20
 
 _GEAR = (tk.mix(np.arange(5001, 5257, dtype=np.uint64)) & tk.U(0xFFFFFFFF)).astype(np.uint32)
 
@@ -55,56 +62,164 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, data, offsets in tk.slices(batch.column("text")):
-            raw, found = data.tobytes(), cuts(data, offsets)
-            digest, size, last = [], [], 0
-            for own, begin in zip(found, offsets.tolist()):
-                last = begin
-                for end in own:
-                    digest.append(hashlib.blake2b(raw[last:end], digest_size=16).digest())
-                    size.append(end - last)
-                    last = end
-            of = np.repeat(np.arange(a, b), [len(x) for x in found])
-            two = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-            rank = np.concatenate([np.arange(len(x)) for x in found]).astype(np.int32)
-            at = pa.array(of)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("tx").take(at), pa.array(rank), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(np.array(size, np.int32))], ["id", "tx", "place", "d1", "d2", "size"])
-
-
-def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        gone = batch.column("gone").to_pylist()
-        for a, b, data, offsets in tk.slices(batch.column("text")):
-            raw, kept, spans = data.tobytes(), [], []
-            for i, own in enumerate(cuts(data, offsets)):
-                drop, last, parts, n, was = set(gone[a + i]), int(offsets[i]), [], 0, False
-                for k, end in enumerate(own):
-                    if k in drop:
-                        n += not was
-                    else:
-                        parts.append(raw[last:end])
-                    was, last = k in drop, end
-                kept.append(b"".join(parts))
-                spans.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("tx").slice(a, b - a), pa.array(kept, pa.binary()), pa.array(spans, pa.int64())], ["id", "tx", "kept", "n_spans"])
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: an entry: digest, whether the id is null, id, hash of the text, place of the chunk
+_ENTRY = np.dtype([("d1", "<u8"), ("d0", "<u8"), ("id", "<i8"), ("tx", "<i8"), ("place", "<i4"), ("named", "u1")])
+_SENT = "shard int, entries binary, id long, tx long, places array<int>"
+
+
+def _later(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first entry of each digest, and those that repeat one elsewhere."""
+    e = e[np.lexsort((e["place"], e["tx"], e["id"], e["named"], e["d1"], e["d0"]))]
+    new = np.ones(e.size, bool)
+    new[1:] = (e["d0"][1:] != e["d0"][:-1]) | (e["d1"][1:] != e["d1"][:-1])
+    first = e[np.maximum.accumulate(np.where(new, np.arange(e.size), 0))] if e.size else e
+    same = np.ones(e.size, bool)
+    for c in ("named", "id", "tx", "place"):
+        same &= e[c] == first[c]
+    return e[new], e[~same]
+
+
+def _by_text(e: np.ndarray) -> tuple[list[pa.Array], int]:
+    """Repeats as a row for each text: id, tx, places."""
+    e = np.unique(e[["named", "id", "tx", "place"]])
+    new = np.ones(e.size, bool)
+    new[1:] = (e["named"][1:] != e["named"][:-1]) | (e["id"][1:] != e["id"][:-1]) | (e["tx"][1:] != e["tx"][:-1])
+    at = np.flatnonzero(new)
+    cut = pa.array(np.append(at, e.size).astype(np.int32))
+    return [pa.array(e["id"][at].copy(), mask=e["named"][at] == 0), pa.array(e["tx"][at].copy()), pa.ListArray.from_arrays(cut, pa.array(e["place"].copy()))], at.size
+
+
+def _chunks(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            first, again = _later(np.concatenate(held))
+            held.clear()
+            shard = (first["d0"] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            first, which = first[order], np.unique(shard)
+            cut = np.searchsorted(shard[order], np.append(which, shards))
+            columns, n = _by_text(again)
+            packed = [first[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+            none = lambda kind, k: pa.nulls(k, kind)
+            k = which.size
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(which.astype(np.int32)), none(pa.int32(), n)]),
+                    pa.concat_arrays([pa.array(packed, pa.binary()), none(pa.binary(), n)]),
+                    pa.concat_arrays([none(pa.int64(), k), columns[0]]),
+                    pa.concat_arrays([none(pa.int64(), k), columns[1]]),
+                    pa.concat_arrays([none(pa.list_(pa.int32()), k), columns[2]]),
+                ],
+                ["shard", "entries", "id", "tx", "places"],
+            )
+
+        size = 0
+        for batch in batches:
+            ids = batch.column("id")
+            named, ids, tx = np.asarray(ids.is_valid()), np.asarray(ids.fill_null(0)), np.asarray(batch.column("tx"))
+            for a, b, data, offsets in tk.slices(batch.column("text")):
+                raw, found, digest = data.tobytes(), cuts(data, offsets), []
+                for own, last in zip(found, offsets.tolist()):
+                    for end in own:
+                        digest.append(hashlib.blake2b(raw[last:end], digest_size=16).digest())
+                        last = end
+                if not digest:
+                    continue
+                count = [len(x) for x in found]
+                e = np.zeros(len(digest), _ENTRY)
+                two = np.frombuffer(b"".join(digest), np.uint64).reshape(-1, 2)
+                e["d0"], e["d1"] = two[:, 0], two[:, 1]
+                of = np.repeat(np.arange(a, b), count)
+                e["id"], e["named"], e["tx"] = ids[of], named[of], tx[of]
+                e["place"] = np.concatenate([np.arange(n) for n in count])
+                held.append(e)
+                size += e.size
+                if size >= GATHER:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """The repeats among the entries of one shard."""
+    e = np.concatenate([np.frombuffer(x, _ENTRY) for x in table.column("entries").to_pylist()])
+    columns, _ = _by_text(_later(e)[1])
+    return pa.Table.from_arrays(columns, names=["id", "tx", "places"])
+
+
+def spans(own: list[int], begin: int, drop: set[int], least: int) -> list[tuple[int, int]]:
+    """The byte ranges that go: runs of dropped chunks of enough bytes, or of the whole text."""
+    out, last, start = [], begin, None
+    end = own[-1] if own else begin
+    for k, cut in enumerate([*own, None]):
+        gone = cut is not None and k in drop
+        if gone and start is None:
+            start = last
+        if not gone and start is not None:
+            if last - start >= least or (start == begin and last == end):
+                out.append((start, last))
+            start = None
+        last = cut
+    return out
+
+
+def _rebuild(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = batch.column("places").to_pylist()
+            for a, b, data, offsets in tk.slices(batch.column("text")):
+                raw, kept, count, removed = data.tobytes(), [], [], []
+                for i, own in enumerate(cuts(data, offsets)):
+                    begin, end = int(offsets[i]), int(offsets[i + 1])
+                    out = spans(own, begin, set(gone[a + i]), least)
+                    edges = [begin, *(x for s in out for x in s), end]
+                    kept.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2])))
+                    count.append(len(out))
+                    removed.append(end - begin - len(kept[-1]))
+                sha = [hashlib.sha256(x).hexdigest() for x in kept]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("tx").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(sha)], ["id", "tx", "n_removed", "n_spans", "kept", "sha"])
+
+    return run
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """A row for each document: id, tx, n_bytes, n_removed, n_spans, kept (binary; null where nothing was removed), sha."""
+    spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
-    chunks = written(rows.mapInArrow(_chunks, "id long, tx long, place int, d1 long, d2 long, size int"), "cdc-chunks").filter(F.col("size") >= LEAST)
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "tx", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first.select(F.struct("d1", "d2").alias("d"), "first", "n"), "cdc-repeats")
-    again = split_join(chunks.select("id", "tx", "place", "size", F.struct("d1", "d2").alias("d")), first, "d", "n", chunks.count())
-    again = again.filter(F.col("first").isNotNull() & ~F.struct("id", "tx", "place").eqNullSafe(F.col("first")))
-    gone = again.groupBy("id", "tx").agg(F.array_sort(F.collect_set("place")).alias("gone"), F.sum("size").alias("n_removed"), F.count(F.lit(1)).alias("n"))
-    gone = written(gone.select("id", "tx", "gone", (F.col("n_removed") * F.size("gone") / F.col("n")).cast("long").alias("n_removed")), "cdc-gone")
-    texts = pick_texts(docs, gone, id_col, text_col)
-    texts = texts.alias("t").join(gone.alias("g"), F.col("t.id").eqNullSafe(F.col("g.id")) & (F.col("t.tx") == F.col("g.tx"))).select("g.id", "g.tx", "t.text", "g.gone")
-    kept = written(texts.mapInArrow(_rebuild, "id long, tx long, kept binary, n_spans long"), "cdc-kept")
-    cut = gone.alias("g").join(kept.alias("k"), F.col("g.id").eqNullSafe(F.col("k.id")) & (F.col("g.tx") == F.col("k.tx"))).select("g.id", "g.tx", "g.n_removed", "k.n_spans", "k.kept")
-    base = rows.select("id", "tx", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
-    out = base.alias("b").join(cut.alias("c"), F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.tx") == F.col("c.tx")), "left")
-    return out.select("b.id", "b.tx", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept", F.when(F.col("kept").isNull(), F.col("whole")).otherwise(F.sha2(F.col("kept"), 256)).alias("sha"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    shards = max(12, total // SHARD_BYTES + 1)
+    sent = written(rows.mapInArrow(_chunks(shards), _SENT), "cdc-entries")
+    met = sent.filter("shard is not null").select("shard", "entries").repartition(shards, "shard").groupBy("shard").applyInArrow(_meet, "id long, tx long, places array<int>")
+    gone = sent.filter("shard is null").select("id", "tx", "places").unionByName(met).groupBy("id", "tx").agg(F.flatten(F.collect_list("places")).alias("places"))
+    gone = written(gone, "cdc-gone")
+    texts = pick_texts(docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col)), gone, id_col, text_col, ("places",))
+    cut = written(texts.mapInArrow(_rebuild(run), "id long, tx long, n_removed long, n_spans long, kept binary, sha string").filter("n_removed > 0"), "cdc-kept")
+    base = rows.select("id", "tx", size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("whole"))
+    again = base.groupBy("id", "tx").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = written(again, "cdc-again")
+    sweep(spark, since, cut, again)
+    c = cut.select(F.col("id").alias("c_id"), F.col("tx").alias("c_tx"), "n_removed", "n_spans", "kept", "sha")
+    out = base.join(c, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("tx") == F.col("c_tx")), "left")
+    whole = F.lit(False)
+    if not again.isEmpty():
+        g = again.select(F.col("id").alias("a_id"), F.col("tx").alias("a_tx"), "n")
+        g = F.broadcast(g) if again.count() <= 500_000 else g
+        out = out.join(g, F.col("id").eqNullSafe(F.col("a_id")) & (F.col("tx") == F.col("a_tx")), "left")
+        ranked = out.filter("n is not null").withColumn("rank", F.row_number().over(Window.partitionBy("id", "tx").orderBy("n_bytes")))
+        out = out.filter("n is null").withColumn("rank", F.lit(1)).unionByName(ranked)
+        whole = (F.col("rank") > 1) & (F.col("n_bytes") > 0)
+    return out.select(
+        "id",
+        "tx",
+        "n_bytes",
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "whole")).alias("sha"),
+    )
