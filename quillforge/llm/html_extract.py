@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .scratch import split_join, written
 
 GROUP = 500
+#: constants of all hosts, at most, for those of large hosts to be broadcast
+BROADCAST_ITEMS = 500_000
 #: after the path of the first and the last block of a repeated group
 HEAD, TAIL = "^", "$"
 PAGES = 4
@@ -45,12 +47,32 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 DROP = {"nav", "header", "footer", "aside", "form", "script", "style", "head", "title", "button", "select", "option", "textarea", "noscript", "iframe", "template", "svg", "menu", "dialog", "object", "canvas", "fieldset", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
-_CLASS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adslot|sponsor|sponsored|promo|promoted|banner|sidebar|side|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|notice|notices|cookie|cookies|consent|gdpr|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"comment|comments|commentlist|respond|replies|reply|disqus|discussion|widget|toolbar|pagination|pager|skip|copyright|disclaimer)(?:$|[\s_0-9-])",
-    re.I,
+#: words of classes and ids of what is not the article
+NAMES = set(
+    "ad ads adv advert adverts advertisement advertising adslot sponsor sponsored promo promoted banner sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs "
+    "header masthead footer notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login share sharing social related recommended "
+    "comment comments commentlist respond replies reply disqus discussion widget toolbar pagination pager skip copyright disclaimer".split()
 )
+#: words that may stand beside them in one name
+BESIDE = set(
+    "area bar block bottom box button buttons col column container content footer form global group holder icons inner item items layer left link links list main message news outer page panel "
+    "posts primary right row secondary section site slot stories strip text thread title to top unit wrap wrapper".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def marked(name: str, label: str, ident: str) -> bool:
+    """Whether a class or id says that an element is not the article: a name whose words are all known, one of them from NAMES.
+
+    Of headings only a class that is such a word itself counts: their ids and longer classes tell what they are about.
+    """
+    if name in HEADINGS:
+        return any(t in NAMES for t in label.lower().split())
+    for token in f"{label} {ident}".lower().split():
+        words = [w for w in re.split(r"[_-]|[0-9]+", token) if w]
+        if any(w in NAMES for w in words) and all(w in NAMES or w in BESIDE for w in words):
+            return True
+    return False
 
 
 def blocks(page: str) -> list[tuple[str, str, int, bool]]:
@@ -101,9 +123,8 @@ def blocks(page: str) -> list[tuple[str, str, int, bool]]:
             text.append(" ")
             continue
         attrs = {a.lower(): (v or "").strip("\"'") for a, v in _ATTR.findall(m[3] or "")}
-        label = f"{attrs.get('class', '')} {attrs.get('id', '')}"
         drop = 2 * (name in DROP or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true")
-        drop = drop or int(name not in {"html", "body", "article", "main"} and bool(_CLASS.search(label)))
+        drop = drop or int(name not in {"html", "body", "article", "main"} and marked(name, attrs.get("class", ""), attrs.get("id", "")))
         if name not in INLINE or drop:
             flush()
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"):
@@ -175,7 +196,7 @@ def _columns(wrappers: list[list[list]]) -> list[pa.Array]:
 def _merge(table: pa.Table) -> pa.Table:
     wrapper: list[list] = []
     pages = 0
-    for row in table.select(["paths", "texts", "repeats", "counts", "pages"]).to_pylist():
+    for row in sorted(table.select(["paths", "texts", "repeats", "counts", "pages"]).to_pylist(), key=lambda r: (-r["pages"], r["paths"], r["texts"])):  # one order, whatever comes first
         other = [list(x) for x in zip(row["paths"], row["texts"], row["repeats"], row["counts"])]
         wrapper = align(wrapper, other) if pages else other
         pages += row["pages"]
@@ -187,7 +208,10 @@ SCHEMA = "host string, paths array<string>, texts array<long>, repeats array<boo
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """pages (host, html) -> a wrapper for each host."""
-    parts = written(pages.select("host", "html").mapInArrow(_streams, SCHEMA), "html-streams")
+    streams = pages.select("host", "html").mapInArrow(_streams, SCHEMA)
+    # pages with one stream of blocks count together, so copies of a page make no large group
+    once = streams.groupBy("host", "paths", "texts", "repeats").agg(F.sum("pages").alias("pages"))
+    parts = written(once.select("host", "paths", "texts", "repeats", F.array_repeat("pages", F.size("paths")).alias("counts"), "pages"), "html-streams")
     while True:
         most = parts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
         top = most.agg(F.max("n")).first()[0] or 0
@@ -195,7 +219,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
             return parts
         groups = F.floor((F.col("n") - 1) / GROUP) + 1
         sized = split_join(parts, most, "host", "n", parts.count())
-        group = F.pmod(F.xxhash64("paths", "texts", F.monotonically_increasing_id()), groups)
+        group = F.pmod(F.xxhash64("paths", "texts", "counts", "pages"), groups)
         parts = written(sized.withColumn("part", group).groupBy("host", "part").applyInArrow(_merge, SCHEMA), "html-wrappers")
 
 
@@ -234,4 +258,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     made = wrappers(rows)
     constant = F.filter(F.arrays_zip("paths", "texts", "counts"), lambda x: (x["texts"] >= 0) & (x["counts"] >= F.greatest(F.lit(PAGES), F.col("pages") / 2)))
     made = written(made.select("host", "pages", constant.alias("c")).select("host", "pages", F.col("c.paths").alias("paths"), F.col("c.texts").alias("texts")), "html-constants")
-    return split_join(rows, made, "host", "pages", rows.count()).select("page_id", "url", "html", "paths", "texts").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    items = made.agg(F.sum(F.size("paths"))).first()[0] or 0
+    total = rows.count() if items <= BROADCAST_ITEMS else 1 << 62  # with more, no host's constants are broadcast
+    return split_join(rows, made, "host", "pages", total).select("page_id", "url", "html", "paths", "texts").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
