@@ -44,7 +44,6 @@ GATHER = 3 << 19
 END = np.array([0x1F3A95C7D2E4B681], np.uint64)
 START = np.array([0x7C15F39B4E8D2A67], np.uint64)
 
-_CODEC = pa.Codec("zstd", compression_level=1)
 #: kinds of packed rows: one row for each (run, shard) of unigrams and bigrams, and one for the run itself
 RUN, UNI, BI, STAT = 0, 1, 2, 3
 PACKED = "run string, shard int, kind int, keys binary, counts binary"
@@ -62,17 +61,6 @@ def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
         return tk.mix(before * tk.U(0xD6E8FEB86659FD93) + h)
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """An array by planes of bytes, compressed."""
-    return _CODEC.compress(np.ascontiguousarray(x.view(np.uint8).reshape(x.size, x.itemsize).T).tobytes(), asbytes=True)
-
-
-def unsqueeze(body: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(_CODEC.decompress(body, n * size, asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
-
-
 def _four(key: np.ndarray) -> bytes:
     """The low 32 bits of each key. The shard is told by other bits; a shard's keys are few beside 2^32, so fewer are confused than by its filter."""
     return key.astype(np.uint32).tobytes()
@@ -125,14 +113,14 @@ def _pack(shards: int, gather: int):
             train = np.repeat(~fixed[3].astype(bool), count)
             seen = np.bincount(index[train], minlength=key.size).astype(np.uint32)
             cut = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(s, UNI, key[a:b].tobytes(), squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            rows = [(s, UNI, key[a:b].tobytes(), tk.squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             hist, word, cut, place = bigrams(index, count, salt, shards)
             seen = np.bincount(place[train], minlength=hist.size).astype(np.uint32)
             two = pair(np.append(key, START)[hist], key[word])
-            rows += [(s, BI, _four(two[a:b]), squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            rows += [(s, BI, _four(two[a:b]), tk.squeeze(seen[a:b])) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
             head = np.array([count.size, h.size, key.size], np.int64)
             body = b"".join(x.tobytes() for x in (head, fixed[0].astype(np.int64), fixed[2].astype(np.int64), count.astype(np.int64), salt, fixed[1].astype(np.uint8), fixed[3].astype(np.uint8)))
-            rows.append((int(name.hexdigest()[:8], 16) % shards, RUN, squeeze(index.astype(np.uint32)), body))
+            rows.append((int(name.hexdigest()[:8], 16) % shards, RUN, tk.squeeze(index.astype(np.uint32)), body))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
             return pa.RecordBatch.from_arrays([pa.array([name.hexdigest()] * len(rows)), *columns], ["run", "shard", "kind", "keys", "counts"])
 
@@ -195,7 +183,7 @@ def _probe(bits: int):
             if not part.num_rows:
                 continue
             keys = [np.frombuffer(x, np.uint64) if kind == UNI else _eight(x) for x in part.column("keys").to_pylist()]
-            counts = [unsqueeze(x, k.size, np.uint32) for k, x in zip(keys, part.column("counts").to_pylist())]
+            counts = [tk.unsqueeze(x, k.size, np.uint32) for k, x in zip(keys, part.column("counts").to_pylist())]
             key, at = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(at, np.concatenate(counts), key.size).astype(np.int64)
             if kind == UNI:
@@ -208,7 +196,7 @@ def _probe(bits: int):
                 out += [("", j, STAT, None, None, int((found.levels == j).sum()), int(own[found.levels == j].sum())) for j in np.unique(found.levels).tolist()]
             cut = np.cumsum([k.size for k in keys])[:-1]
             for name, v in zip(part.column("run").to_pylist(), np.split(value[at], cut)):
-                out.append((name, shard, kind, squeeze(v), None, v.size, 0))
+                out.append((name, shard, kind, tk.squeeze(v), None, v.size, 0))
         for r in table.filter(pa.array(kinds == RUN)).select(["run", "keys", "counts"]).to_pylist():
             out.append((r["run"], shard, RUN, r["keys"], r["counts"], 0, 0))
         types = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
@@ -230,7 +218,7 @@ def _score(shards: int, n: int, v: int, means: list[float]):
                 r = back.get((kind, s))
                 if r is None or r["size"] != cut[s + 1] - cut[s]:
                     raise ValueError("the documents were read again in another order; pass a table that is stored")
-                parts.append(unsqueeze(r["body"], r["size"], dtype))
+                parts.append(tk.unsqueeze(r["body"], r["size"], dtype))
             return np.concatenate(parts)
 
         sizes = {k: np.array([back[k, s]["size"] if (k, s) in back else 0 for s in range(shards)]) for k in (UNI,)}
@@ -244,7 +232,7 @@ def _score(shards: int, n: int, v: int, means: list[float]):
             at = 24 + 24 * docs
             salt = np.frombuffer(raw, np.uint16, words, at)
             none, held = (np.frombuffer(raw, np.uint8, docs, at + 2 * words + docs * i).astype(bool) for i in range(2))
-            index = unsqueeze(r["body"], size, np.uint32).astype(np.int64)
+            index = tk.unsqueeze(r["body"], size, np.uint32).astype(np.int64)
             c = answers(UNI, np.concatenate([[0], np.cumsum(sizes[UNI])]), np.int64)
             if c.size != words:
                 raise ValueError("the documents were read again in another order; pass a table that is stored")
