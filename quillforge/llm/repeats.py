@@ -9,7 +9,7 @@ Each window of SPAN bytes is named by its least GRAM-byte hash. Equal windows ha
 only windows whose name is picked at two or more places can repeat. Those names are found by
 one join; the windows under them are hashed and sent, packed, to shards by name (and by their
 own hash where a name is frequent), and each shard reports the spans of windows that are equal
-to another. Whole copies of a text need no windows: one of them stands for all, and each is
+to another, in the hash of all their bytes and in their name, 128 bits together. Whole copies of a text need no windows: one of them stands for all, and each is
 covered wholly if it is long enough.
 
 Defined cases. Null text is empty. Texts under SPAN bytes lose nothing and remove nothing. Rows
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .keep import pick_texts
-from .scratch import split_join, written
+from .scratch import mark, split_join, sweep, written
 
 SPAN, GRAM = 400, 64
 WIDTH = SPAN - GRAM + 1
@@ -107,14 +107,15 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _windows(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            shard, key, uid, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
+            shard, key, uid, pos, name = (np.concatenate([x[i] for x in held]) for i in range(5))
             held.clear()
             order = np.argsort(shard, kind="stable")
-            shard, key, uid, pos = shard[order], key[order], uid[order], pos[order]
+            shard, key, uid, pos, name = shard[order], key[order], uid[order], pos[order], name[order]
             which, first = np.unique(shard, return_index=True)
             last = np.append(first[1:], shard.size)
-            packed = [pa.array([x[a:b].tobytes() for a, b in zip(first, last)], pa.binary()) for x in (key, uid, pos)]
-            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *packed], ["shard", "keys", "uids", "places"])
+            # windows of one name follow each other, so all but the keys takes little room
+            packed = [pa.array([tk.squeeze(np.diff(pos[a:b], prepend=0).astype(np.int32)) if x is pos else x[a:b].tobytes() if x is key else tk.squeeze(x[a:b]) for a, b in zip(first, last)], pa.binary()) for x in (key, uid, pos, name)]
+            return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), *packed], ["shard", "keys", "uids", "places", "names"])
 
         held: list[tuple] = []
         for batch in batches:
@@ -136,7 +137,7 @@ def _windows(shards: int):
                 with np.errstate(over="ignore"):
                     shard = (tk.mix(w.name[pos] + (key % share) * tk._MULT) % tk.U(shards)).astype(np.int64)
                 doc = np.searchsorted(offsets, pos, side="right") - 1
-                held.append((shard, key, uids[doc + a], (pos - offsets[doc]).astype(np.int32)))
+                held.append((shard, key, uids[doc + a], (pos - offsets[doc]).astype(np.int32), w.name[pos]))
                 if sum(x[0].size for x in held) >= GATHER:
                     yield flush()
         if held:
@@ -147,10 +148,18 @@ def _windows(shards: int):
 
 def _equal(table: pa.Table) -> pa.Table:
     """The spans of windows of one shard that are equal to another window."""
-    key, uid, pos = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("uids", np.int64), ("places", np.int32)))
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    key = np.concatenate(keys)
+    uid, pos, name = (np.concatenate([tk.unsqueeze(x, k.size, t) for k, x in zip(keys, table.column(c).to_pylist())]) for c, t in (("uids", np.int64), ("places", np.int32), ("names", np.uint64)))
+    at = np.cumsum([0] + [k.size for k in keys])[:-1]
+    run = np.cumsum(pos.astype(np.int64))
+    pos = (run - np.repeat(run[at] - pos[at], [k.size for k in keys])).astype(np.int32)
     order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
+    k, m = key[order], name[order]
+    if ((k[1:] == k[:-1]) & (m[1:] != m[:-1])).any():  # one hash for different windows
+        order = np.lexsort((name, key))
+        k, m = key[order], name[order]
+    same = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
     again = np.zeros(k.size, bool)
     again[1:] |= same
     again[:-1] |= same
@@ -190,6 +199,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, tx, n_bytes, n_removed, n_spans, sha (of what is left)."""
+    spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
     text = F.coalesce("text", F.lit(""))
     base = written(rows.select("id", "tx", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("whole")), "rep-digests")
@@ -204,17 +214,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = split_join(names, shared, "name", "n", names.count()).filter("n is not null").select("id", "tx", "name", (F.floor(F.col("n") / PLACES) + 1).cast("long").alias("parts"))
     wanted = named.groupBy("id", "tx").agg(F.collect_set(F.struct("name", "parts")).alias("of"))
     wanted = written(wanted.select("id", "tx", F.col("of.name").alias("names"), F.col("of.parts").alias("parts")), "rep-wanted")
-    texts = pick_texts(docs, wanted, id_col, text_col).alias("t")
-    w = wanted.alias("w")
-    texts = texts.join(w, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.tx") == F.col("w.tx"))).select("t.id", "t.tx", F.xxhash64("t.id", "t.tx").alias("uid"), "t.text", "w.names", "w.parts")
+    texts = pick_texts(docs, wanted, id_col, text_col, ("names", "parts")).select("id", "tx", F.xxhash64("id", "tx").alias("uid"), "text", "names", "parts")
     texts = written(texts, "rep-texts")
+    sweep(spark, since, base, texts)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(12, 10 * size // SHARD_BYTES)
-    packed = texts.select("uid", "text", "names", "parts").mapInArrow(_windows(shards), "shard int, keys binary, uids binary, places binary")
+    packed = texts.select("uid", "text", "names", "parts").mapInArrow(_windows(shards), "shard int, keys binary, uids binary, places binary, names binary")
     spans = packed.repartition(shards, "shard").groupBy("shard").applyInArrow(_equal, "uid long, starts array<int>, ends array<int>")
     spans = spans.groupBy("uid").agg(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).cast("array<struct<start:int,end:int>>").alias("spans"))
     cut = texts.select("id", "tx", "uid", "text").join(spans, "uid").select("id", "tx", "text", "spans")
-    cut = written(cut.mapInArrow(_cut, "id long, tx long, n_removed long, n_spans long, sha string, spans array<struct<start:int,end:int>>"), "rep-cut").alias("c")
+    done = written(cut.mapInArrow(_cut, "id long, tx long, n_removed long, n_spans long, sha string, spans array<struct<start:int,end:int>>"), "rep-cut")
+    sweep(spark, since, base, done)
+    cut = done.alias("c")
     b = base.alias("b")
     out = b.join(cut, F.col("b.id").eqNullSafe(F.col("c.id")) & (F.col("b.tx") == F.col("c.tx")), "left")
     copy = F.col("b.rep").isNotNull()

@@ -20,3 +20,19 @@ def test_class_names_do_not_overrule_the_wrapper(spark):
 def test_an_article_that_is_all_constant_stays(spark):
     page = "<body><div class=date>day {0}</div><article><p>Text</p></article></body>"
     assert extracted(spark, [page.format(i) for i in range(6)]) == ["Text"] * 6
+
+
+def test_headings_and_names_of_other_things_stay(spark):
+    page = '<body><article><h2 id="side-effects">Effects {0}</h2><h2 class="share-price">Price {0}</h2><p class="menu-of-the-day">Soup {0}</p><div class="related-posts">x {0}</div><div id=cookie-notice>y {0}</div></article></body>'
+    assert extracted(spark, [page.format(i) for i in range(5)]) == [f"Effects {i}\nPrice {i}\nSoup {i}" for i in range(5)]
+
+
+def test_repeated_deep_and_long_pages_and_other_columns(spark):
+    deep = "<div>" * 3000 + "<p>deep" + "</div>" * 3000
+    long = "<article>" + "".join(f"<p>part {i}</p>" for i in range(20000)) + "</article>"
+    plain = "<nav>menu</nav><article><p>a &lt;b&gt; c</p><p>d\n\t e</p></article>"
+    rows = [(1, "http://h.example/1", plain, "x", "y")] * 3 + [(2, "http://h.example/2", deep, None, None), (3, "http://h.example/3", long, None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, paths string")
+    got = html_extract.extract(df).collect()
+    assert len(got) == 6 and all(r.text == "a <b> c\nd e" and r.n_chars == 11 for r in got if r.page_id == 1)
+    assert next(r for r in got if r.page_id == 2).text == "deep" and next(r for r in got if r.page_id == 3).text == "\n".join(f"part {i}" for i in range(20000))
