@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import grammar as G
+from ..functions import scanner as N
 from ..functions import script as J
 from ..functions import text as X
 from ..operators import images as I
@@ -580,6 +582,53 @@ def source_map_segments(t):
     return J.segments(rows, "conv_id", "line", "col", "source", "sl", "sc")
 
 
+def _sheets(t) -> DataFrame:
+    css = F.concat(F.lit("/* c */ a , ."), F.translate("p_brand", "#", "-"), F.lit(" > b { margin : "), "p_size", F.lit("px 0 ; color : red ! important } @media print { p { width : calc( 1px + "), "p_size", F.lit("px ) } } "))
+    odd = F.when(F.col("p_size") % 3 == 0, "\n } d{e}").otherwise("")
+    return t("part").select("p_partkey", F.concat(css, odd).alias("css"))
+
+
+@_query("""SELECT p_partkey AS sheet, media, CAST(r AS BIGINT) AS rule, replace(selector, '?', replace(p_brand, '#', '-')) AS selector, CAST(k AS BIGINT) AS decl, property, replace(value, '?', CAST(p_size AS VARCHAR)) AS value, important
+FROM part, (VALUES (NULL, 1, 'a,.?>b', 0, 'margin', '?px 0', false), (NULL, 1, 'a,.?>b', 1, 'color', 'red', true), ('print', 2, 'p', 0, 'width', 'calc(1px + ?px)', false)) AS v(media, r, selector, k, property, value, important)""")
+def sheet_declarations(t):
+    return G.declarations(_sheets(t), "p_partkey", "css")
+
+
+@_query("SELECT p_partkey AS sheet, CAST(2 AS BIGINT) AS line, CAST(c AS BIGINT) AS \"column\", message FROM part, (VALUES (2, 'brace without a block'), (6, 'not a declaration')) AS v(c, message) WHERE p_size % 3 = 0")
+def sheet_errors(t):
+    return G.errors(_sheets(t), "p_partkey", "css")
+
+
+@_query("SELECT p_partkey AS sheet, 'a,.' || replace(p_brand, '#', '-') || '>b{margin:' || p_size || 'px 0;color:red!important}@media print{p{width:calc(1px + ' || p_size || 'px)}}' || CASE WHEN p_size % 3 = 0 THEN 'd{}' ELSE '' END AS css FROM part")
+def sheet_tolerant(t):
+    return G.tolerant(_sheets(t), "p_partkey", "css")
+
+
+def _scripts(t) -> DataFrame:
+    text = F.concat(F.lit("function add ( first , second ) { // c\n var total = first + second , unit = "), "p_size", F.lit(" * 3 ; return total + total / unit }"), F.when(F.col("p_size") % 4 == 0, " )").otherwise(""))
+    return t("part").select("p_partkey", text.alias("js"))
+
+
+@_query("SELECT p_partkey AS script, CASE WHEN p_size % 4 > 0 THEN 'function add(n,t){var i=n+t,r=' || p_size * 3 || chr(59) || 'return i+i/r}' END AS text FROM part")
+def scripts_minified(t):
+    return N.minify(_scripts(t), "p_partkey", "js")
+
+
+@_query("SELECT p_partkey AS script, kind, CAST(n + CASE WHEN kind = 'mark' AND p_size % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n FROM part, (VALUES ('mark', 13), ('name', 12), ('number', 2)) AS v(kind, n)")
+def script_tokens(t):
+    return N.token_counts(_scripts(t), "p_partkey", "js")
+
+
+@_query("SELECT p_partkey AS script, CAST(2 AS BIGINT) AS line, CAST(length(' var total = first + second , unit = ' || p_size || ' * 3 ; return total + total / unit } )') AS BIGINT) AS \"column\", 'unexpected )' AS message FROM part WHERE p_size % 4 = 0")
+def script_errors(t):
+    return N.script_errors(_scripts(t), "p_partkey", "js")
+
+
+@_query(None)
+def declarations_shared(t):
+    return R.share_declarations(_decls(t).filter("media is null").drop("media"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -201,7 +201,7 @@ def distinct_colours(t, spark):
     return t("part").agg(n.alias("colours"), (n <= 256).alias("indexable"))
 
 
-@_query(None)
+@_query("SELECT p_partkey, '.' || replace(p_brand, '#', '-') || '>a,b{margin:' || p_size || '.5px' || chr(59) || 'color:#abc!important}@media screen and (width:1px){p{top:0}}' AS css FROM part")
 def css_minify(t, spark):
     css = F.concat(F.lit("/* c */ ."), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit(" > a , b { margin : 0"), F.col("p_size"), F.lit(".50px ; color : #AABBCC ! important ; } @media screen and ( width : 1px ) { p { top : 0px } }"))
     return t("part").select("p_partkey", minify(css).alias("css"))

@@ -109,3 +109,52 @@ def store(rows: DataFrame, path: str, category: str, text: str) -> DataFrame:
             raise
     new.select("category", "hash", "content").write.mode("append").partitionBy("category").parquet(path)
     return new.select("category", "hash", "content")
+
+
+def read_resources_loose(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, value) of string resources; of a name twice in a file the first by value stays."""
+    rows = _xml(spark, path, "data", "_name string, value string").filter(F.trim("_name") != "")
+    return rows.groupBy("file", F.lower("_name").alias("key")).agg(F.min(F.struct(F.coalesce("value", F.lit("")).alias("value"), F.col("_name").alias("name"))).alias("x")).select("file", "x.name", "x.value")
+
+
+def read_settings(spark: SparkSession, path: str, tag: str = "Settings") -> DataFrame:
+    """(file, name, value) of the settings elements of job configurations, whatever their names."""
+    files = spark.read.format("binaryFile").load(path).select("path", decoded(F.col("content")).alias("text"))
+    blocks = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))).alias("b"))
+    item = r"(?s)(<([A-Za-z][\w.-]*)[^>]*>([^<]*)</\2>)"
+    each = blocks.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("b", F.lit(item), F.lit(2)).alias("n"), F.regexp_extract_all("b", F.lit(item), F.lit(3)).alias("v"))).alias("x"))
+    return each.select(F.col("path").alias("file"), F.col("x.n").alias("name"), F.trim("x.v").alias("value"))
+
+
+def config_files(spark: SparkSession, path: str, most: int = 100) -> list[str]:
+    """The configuration at path and those it includes by ConfigSource elements, each once, an includer before what it includes.
+
+    Paths are relative to the includer. Only the paths come to the driver, a level at a time.
+    """
+    seen, level = [path], [path]
+    while level and len(seen) <= most:
+        files = spark.read.format("binaryFile").load(level).select("path", decoded(F.col("content")).alias("text"))
+        names = files.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"<ConfigSource>\s*([^<]+?)\s*</ConfigSource>"), F.lit(1))).alias("n")).collect()
+        found = [f"{r.path.rsplit('/', 1)[0]}/{r.n.replace(chr(92), '/')}" for r in sorted(names)]
+        level = [f for f in dict.fromkeys(found) if f not in seen]
+        seen += level
+    return seen
+
+
+def write_named(rows: DataFrame, path: str, name: str, content: str) -> int:
+    """Writes each content under its name, a folder for each, and leaves names alone that are there; returns how many were new."""
+    new = rows.select(F.col(name).alias("name"), F.coalesce(F.col(content), F.lit("")).alias("value")).dropDuplicates(["name"])
+    try:
+        held = rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.url_decode(F.regexp_extract("path", "/name=([^/]*)/", 1)).alias("name")).distinct()
+        new = new.join(held, "name", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    n = new.count()
+    new.write.mode("append").partitionBy("name").text(path)
+    return n
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A report's lines (column line) as text."""
+    lines.select("line").write.text(path)

@@ -4,12 +4,12 @@ from quillforge.functions import css
 
 CASES = [
     (".a { color : #AABBCC ; }", ".a{color:#abc}"),
-    ("p{margin:0.0rem 0.00px 0.500% 00%}", "p{margin:0 0 .5% 0}"),
+    ("p{padding:0.0em 00.0px 0.70% 0%}", "p{padding:0 0 .7% 0}"),
     ("p{transition:0s}", "p{transition:0s}"),
     ("p{color:#112234}", "p{color:#112234}"),
     ("p{color:rgb(255,204,119)}", "p{color:#fc7}"),
     ("p{color:rgb(100,200,300)}", "p{color:rgb(100,200,300)}"),
-    ("p{color:rgba(0255,0.100,0.000,0.8)}", "p{color:rgba(255,.1,0,.8)}"),
+    ("p{color:hsla(0120,0.300,00.0,0.4)}", "p{color:hsla(120,.3,0,.4)}"),
     ("a > b , c{x:y ! important}", "a>b,c{x:y!important}"),
     ("@media screen , print { a { b : c } }", "@media screen,print{a{b:c}}"),
     ("a{b:c;b:d}", "a{b:d}"),
