@@ -1,19 +1,17 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trusted text is what labels call good and not toxic. The model is fitted on a bounded sample of
-it (whole texts of TRAIN_DOCS documents, TRAIN_BYTES in all, in hash order of their ids); all else
-covers every document. N-grams are counted by shuffled aggregations, and continuation counts come from
-joins of those counts. The counts, bounded by the sample, go to the workers as SHARDS ranges of n-gram hashes; the
-n-grams of each batch of documents are joined with the shards in turn, which gives every document's
-perplexity. A document is rejected if its perplexity is above its language's limit: the QUANTILE
-of the perplexities of trusted documents that the model has not seen, or of all languages
-together where a language has under LEAST of them.
+Trusted text is what labels call good and not toxic. The model is fitted on all of it (ngrams: n-grams
+travel to shards, are counted and joined there, and the numbers travel back), and scores every document. A
+trusted document is scored by the model without it: its own part is taken from all counts of the n-grams that judge
+it, exactly; only the discounts and the totals over all words are those of all texts. A document is rejected
+if its perplexity is above its language's limit: the QUANTILE of the perplexities of all trusted documents of the
+language, or of all languages together where a language has under LEAST of them.
 
 A perplexity is a mean, which a few words hardly move. So a second score, the contrast, is the
 largest log ratio, over a document's words, of the share of rejected documents (labelled bad or
-toxic) with the word to the share of trusted ones, in samples of TRAIN_DOCS at most of each; words in
+toxic) with the word to the share of trusted ones, over all of each, a trusted document without itself; words in
 under SEEN rejected documents, or with a ratio under e^FLOOR, count as 0. A document is rejected if it is above
-the QUANTILE of the contrasts of unseen trusted documents.
+the QUANTILE of the contrasts of all trusted documents.
 
 Defined cases. Null, empty and wordless texts have no perplexity and are rejected. A null
 language is a language. Without trusted text nothing is rejected but wordless texts. Repeated
@@ -24,18 +22,19 @@ documents give an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngrams
 from . import textkernel as tk
+from .keep import BROADCAST_IDS
 from .scratch import mark, sweep, written
 
-TRAIN_DOCS = 3000
-TRAIN_BYTES = 24 << 20
-#: share of unseen trusted documents that each score lets pass; the README has recall and loss by quantile
+#: share of trusted documents, each unseen by the model that scores it, that each score lets pass
 QUANTILE = 0.99
 LEAST = 50
 SEEN, FLOOR = 5, 3.0
@@ -88,10 +87,7 @@ class Table:
 
 def discounts(count: np.ndarray) -> np.ndarray:
     """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [max(1, int((count == k).sum())) for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1])
-    d = [0.0, *(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))]
-    return np.clip(np.array(d), [0, 0.05, 0.05, 0.05], [0, 0.95, 1.9, 2.8])
+    return ngrams.discounts(np.array([(count == k).sum() for k in (1, 2, 3, 4)]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +101,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(sample: DataFrame) -> dict[str, pa.Table]:
-    """The counts of a bounded sample: trigrams, continuation counts of bigrams and words, and the contexts of both orders."""
+    """The counts of texts that fit one process, which classify does not assume: trigrams, continuation counts of bigrams and words, and the contexts of both orders."""
     grams = sample.select("text").mapInArrow(_count, "kind int, key long, a long, b long, n long")
     grams = written(grams.groupBy("kind", "key").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("n").cast("int").alias("n")), "kn-counts")
     tri, seen = grams.filter("kind = 3"), grams.filter("kind = 2").select("key", "a", "b")
@@ -120,7 +116,7 @@ def counted(sample: DataFrame) -> dict[str, pa.Table]:
 
 
 class Model:
-    """Counts of the sample; probabilities are put together when documents are scored."""
+    """The model of such counts in one process. classify uses the shards of ngrams; tests hold them against this."""
 
     def __init__(self, counts: dict[str, pa.Table]):
         def column(table: str, name: str) -> np.ndarray:
@@ -155,48 +151,36 @@ class Model:
         return -np.log(np.maximum(p, 1e-12))
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many rejected and trusted documents of a slice hold each word."""
-    for batch in batches:
-        bad = batch.column("bad").to_numpy(zero_copy_only=False)
-        for a, b, data, offsets in tk.slices(batch.column("text")):
-            words = tk.Words(data, offsets, tk.SPACED)
-            doc = np.repeat(np.arange(b - a), words.count)
-            key, at = np.unique(words.hashes(), return_inverse=True)
-            pairs = np.unique(at.astype(np.int64) * (b - a) + doc)
-            word, rejected = pairs // (b - a), bad[a:b][pairs % (b - a)]
-            counts = [np.bincount(word[m], minlength=key.size) for m in (rejected, ~rejected)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], ["word", "bad", "good"])
-
-
-def contrasts(sample: DataFrame) -> Table:
-    """sample (text, bad) -> the log ratio of each word that marks rejected documents."""
-    n = {r.bad: r.n for r in sample.groupBy("bad").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    bad, good = n.get(True, 0), n.get(False, 0)
-    # words in a 500th of the rejected documents number at most 500 times the words of one
-    found = sample.mapInArrow(_words, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= max(SEEN, bad // 500))
-    ratio = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
-    rows = found.select("word", ratio.alias("ratio")).filter(F.col("ratio") >= FLOOR).collect() if good else []
-    return Table(np.array([r.word for r in rows], np.int64).view(np.uint64), np.array([r.ratio for r in rows], np.float64))
-
-
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, marks = shared.value
-        for batch in batches:
-            for a, b, data, offsets in tk.slices(batch.column("text")):
-                words = tk.Words(data, offsets, tk.SPACED)
-                sums = np.zeros(b - a)
-                some = np.flatnonzero(words.count)
-                if some.size:
-                    sums[some] = np.add.reduceat(model.nll(words), words.doc[some])  # equal texts give equal sums
-                ppl = np.exp(sums / np.maximum(words.count, 1))
-                contrast = np.zeros(b - a)
-                np.maximum.at(contrast, np.repeat(np.arange(b - a), words.count), marks.find(words.hashes())[0])
-                cols = [batch.column(c).slice(a, b - a) for c in ("id", "tx", "lang")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(words.count.astype(np.int64)), pa.array(ppl, mask=words.count == 0), pa.array(contrast)], ["id", "tx", "lang", "n_words", "perplexity", "contrast"])
-
-    return run
+def _ratios(n_bad: int, n_good: int, bad: np.ndarray, good: np.ndarray) -> list[np.ndarray]:
+    """The log ratio of words by the documents that hold them, and that for a trusted document with the word, which is left out; 0 for words that mark none."""
+    share = np.log((bad + 0.5) / (n_bad + 1))
+    both = share - np.log((good + 0.5) / (n_good + 1)), share - np.log((np.maximum(good - 1, 0) + 0.5) / max(n_good, 1))
+    return [np.where((bad >= max(SEEN, n_bad // 500)) & (n_good > 0) & (r >= FLOOR), r, 0.0) for r in both]
+
+
+def _contrast(n_bad: int, n_good: int):
+    """What ngrams picks for the contrast, and the function of what is picked that gives it.
+
+    Words in a 500th of the rejected documents number at most 500 times the words of one."""
+
+    def pick(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+        return np.maximum(*_ratios(n_bad, n_good, bad, good)) > 0
+
+    def more(words: np.ndarray, bad: np.ndarray, good: np.ndarray):
+        marks = Table(words, *_ratios(n_bad, n_good, bad, good))
+
+        def run(words: np.ndarray, index: np.ndarray, count: np.ndarray, docs: pa.Table) -> dict[str, np.ndarray]:
+            out = np.zeros(count.size)
+            if index.size:
+                ratio, own = marks.find(words)
+                some = count > 0
+                each = np.where(np.repeat(np.asarray(docs.column("good")), count), own[index], ratio[index])
+                out[some] = np.maximum.reduceat(each, (np.cumsum(count) - count)[some])
+            return {"contrast": out}
+
+        return run
+
+    return pick, more
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -210,28 +194,19 @@ def rejected(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & ((F.col("quality") == 0) | (F.col("toxic") == 1))).select(F.col("doc_id").cast("long").alias("id")).distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """A row for each document: id, tx, lang, n_words, perplexity, limit, kept."""
     spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(1 << 20))
-    good = written(trusted(labels).withColumn("fold", fold), "kn-trusted")
-    bad = written(rejected(labels).withColumn("fold", fold), "kn-rejected")
-    cut, bad_cut = ((1 << 20) * min(0.5, train_docs / max(1, x.count())) for x in (good, bad))
-    fit = good.filter(F.col("fold") < cut).select("id", F.lit(False).alias("bad"), "fold")  # train_docs ids, about; half of few
-    both = fit.unionByName(bad.filter(F.col("fold") < bad_cut).select("id", F.lit(True).alias("bad"), "fold"))
-    sample = written(rows.join(F.broadcast(both), "id").select("id", "tx", "bad", "fold", "text"), "kn-sample")
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("bad").orderBy("fold", "id", "tx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sized = sample.groupBy("id", "tx", "bad").agg(F.first("fold").alias("fold"), F.sum(F.octet_length("text")).alias("size"))  # of a few thousand documents
-    taken = written(sized.withColumn("before", before).filter(F.col("before") < TRAIN_BYTES).select("id", "tx", "bad"), "kn-taken")
-    sample = sample.join(F.broadcast(taken), ["id", "tx", "bad"], "left_semi")
-    model = Model(counted(sample.filter("not bad")))
-    marks = contrasts(sample.select("text", "bad"))
-    shared = spark.sparkContext.broadcast((model, marks))  # TRAIN_BYTES of text at most, and one document
-    scored = written(rows.mapInArrow(_score(shared), "id long, tx long, lang string, n_words long, perplexity double, contrast double"), "kn-scores")
-    del model, marks
-    sweep(spark, since, good, scored)
-    held = scored.filter("perplexity is not null").join(good.filter(F.col("fold") >= cut).select("id"), "id", "left_semi")
+    known = written(trusted(labels).withColumn("bad", F.lit(False)).unionByName(rejected(labels).withColumn("bad", F.lit(True))), "kn-labels")
+    small = known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = rows.join(F.broadcast(known) if small else known, "id", "left").select("id", "tx", "lang", "text", F.coalesce(~F.col("bad"), F.lit(False)).alias("good"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    rows = rows if small else written(rows, "kn-rows")  # rows are read more than once, in one order
+    n_bad, n_good = rows.agg(*(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)) for c in ("bad", "good"))).first()
+    parts = ngrams.perplexities(rows, "id long, tx long, lang string, good boolean, n_words long, perplexity double, contrast double", "kn-scores", *_contrast(n_bad, n_good))
+    sweep(spark, since, *parts)
+    scored = reduce(DataFrame.unionByName, parts)
+    held = scored.filter("good and perplexity is not null")
     limits = held.groupBy("lang").agg(F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)).alias("own"), F.count(F.lit(1)).alias("held"))
     limits = limits.filter(F.col("held") >= LEAST).select(F.col("lang").alias("lim_lang"), "own")
     limits = written(limits, "kn-limits")
