@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .scratch import mark, settled, sweep
+from .scratch import drop_part, mark, settled, sweep
 
 #: bytes of text for each shard, about, and words of a run (a longer document is a run of its own)
 SHARD_BYTES = 8 << 20
 GATHER = 1 << 20
 #: shares of the shards of trigrams and bigrams, and of the runs, that are on their way one after the other: less disk for more passes over the stored runs
-PASSES = 6
+PASSES = 3
 STATS = 5
 
 #: kinds of packed rows
@@ -47,26 +47,37 @@ def _squeezed(arrays: list[np.ndarray]) -> list[bytes]:
     return [tk.squeeze(s) if s.any() else b"" for s in arrays]
 
 
-def _loose(body: bytes, size: int) -> np.ndarray:
-    return tk.unsqueeze(body, size, np.int64) if body else np.zeros(size, np.int64)
+def _loose(body: bytes, size: int, kind: type = np.int64) -> np.ndarray:
+    return tk.unsqueeze(body, size, kind).astype(np.int64, copy=False) if body else np.zeros(size, np.int64)
 
 
-def _pack_stats(stats: np.ndarray) -> list[bytes]:
-    """Numbers of n-grams (a column each) as places in their distinct columns, the most frequent first; nothing if all are 0."""
-    if not stats.any():
-        return []
+def _width(v: int) -> type:
+    return np.int32 if v < 1 << 31 else np.int64
+
+
+def _kinds(stats: np.ndarray) -> np.ndarray:
+    """A number for each column of numbers, equal for equal ones, the most frequent first."""
+    if not stats[1:].any():
+        return stats[0]
     code = tk.mix(stats[0].astype(np.uint64))
     with np.errstate(over="ignore"):
         for x in stats[1:]:
             code = tk.mix(code * tk.U(0xD6E8FEB86659FD93) + x.astype(np.uint64))
     first, at = _group(code)
+    if (stats[:, first[at]] != stats).any():  # one hash for different columns
+        return np.arange(stats.shape[1])
     often = np.argsort(-np.bincount(at), kind="stable")
-    place = np.empty(often.size, np.int32)
-    place[often] = np.arange(often.size, dtype=np.int32)
-    values, at = stats[:, first[often]], place[at]
-    if (values[:, at] != stats).any():  # one hash for different columns
-        values, at = stats, np.arange(stats.shape[1], dtype=np.int32)
-    return [tk.squeeze(at), tk.squeeze(values.ravel()), np.int64(values.shape[1]).tobytes()]
+    place = np.empty(often.size, np.int64)
+    place[often] = np.arange(often.size)
+    return place[at]
+
+
+def _pack_stats(stats: np.ndarray, kinds: np.ndarray) -> list[bytes]:
+    """Numbers of n-grams (a column each, of kinds) as places in their distinct columns; nothing if all are 0."""
+    if not stats.any():
+        return []
+    first, at = _group(kinds)
+    return [tk.squeeze(at.astype(np.int32)), tk.squeeze(stats[:, first].ravel()), np.int64(first.size).tobytes()]
 
 
 def _stats(r: dict) -> np.ndarray:
@@ -80,11 +91,11 @@ def _stats(r: dict) -> np.ndarray:
 def _packed(columns: list[np.ndarray], v: int) -> list[bytes]:
     """Sorted n-grams of word numbers under v."""
     head = columns[0] * v + columns[1] if len(columns) == 3 else columns[0]
-    return _squeezed([np.diff(head, prepend=0), *columns[max(1, len(columns) - 1) :]])
+    return _squeezed([np.diff(head, prepend=0), *(c.astype(_width(v)) for c in columns[max(1, len(columns) - 1) :])])
 
 
 def _unpacked(r: dict, v: int) -> list[np.ndarray]:
-    first, *last = (_loose(x, r["size"]) for x in r["grams"])
+    first, *last = (_loose(x, r["size"], k) for x, k in zip(r["grams"], (np.int64, _width(v))))
     first = np.cumsum(first)
     return [*(np.divmod(first, v) if r["level"] == 3 else [first]), *last]
 
@@ -108,12 +119,14 @@ def _code(columns: list[np.ndarray], v: int) -> np.ndarray:
     return out
 
 
-def _shard_of(columns: list[np.ndarray], shards: int) -> np.ndarray:
-    out = tk.mix(columns[0].astype(np.uint64))
+def _shard_of(mixed: list[np.ndarray], shards: int) -> np.ndarray:
+    """The shard of each n-gram from its words' numbers, each mixed."""
+    out = mixed[0]
     with np.errstate(over="ignore"):
-        for c in columns[1:]:
-            out = tk.mix(out * tk.U(0xD6E8FEB86659FD93) + c.astype(np.uint64))
-    return (out % tk.U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+        for c in mixed[1:]:
+            out = out * tk.U(0xD6E8FEB86659FD93) + c
+        out = out * tk.U(0xBF58476D1CE4E5B9)
+    return ((out ^ (out >> tk.U(29))) % tk.U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
 
 
 def _cuts(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +237,7 @@ def _answers(back: dict[tuple[int, int], dict], level: int, cut: np.ndarray) ->
         r = back.get((level, s))
         if r is None or r["size"] != cut[s + 1] - cut[s]:
             raise Lost
-        parts.append(_loose(r["stats"][0], r["size"])[None] if level == 0 else _stats(r))
+        parts.append(_loose(r["stats"][0], r["size"])[None] if level == 0 else _stats(r)[: 1 if level == 3 else STATS])
     return np.concatenate(parts, axis=1) if parts else np.zeros((STATS, 0), np.int64)
 
 
@@ -265,6 +278,7 @@ class Grams:
         if not self.size:
             return
         self.numbers = np.concatenate([[0], np.cumsum(tk.unsqueeze(r["grams"][1], int(np.frombuffer(r["grams"][2], np.int64)[0]), np.int64))])  # the start is 0
+        self.mixed = tk.mix(self.numbers.astype(np.uint64))
         n = self.numbers.size
         self.word = word = tk.unsqueeze(r["grams"][0], r["size"], np.int32).astype(np.int64) + 1
         self.first = first = (np.cumsum(count) - count)[count > 0]
@@ -288,12 +302,12 @@ class Grams:
         self.rows = slice(None)
         if parts == 1:
             return columns
-        self.rows = np.flatnonzero(_shard_of([self.numbers[c] for c in columns], shards) % parts == part)
+        self.rows = np.flatnonzero(_shard_of([self.mixed[c] for c in columns], shards) % parts == part)
         return [c[self.rows] for c in columns]
 
     def _set(self, level: int, columns: list[np.ndarray], shards: int, at: np.ndarray) -> None:
+        order, self.cuts[level] = _cuts(_shard_of([self.mixed[c] for c in columns], shards), shards)
         columns = [self.numbers[c] for c in columns]
-        order, self.cuts[level] = _cuts(_shard_of(columns, shards), shards)
         back = np.empty(order.size, np.int64)
         back[order] = np.arange(order.size)
         self.columns[level], self.places[level] = [c[order] for c in columns], back[at]
@@ -311,7 +325,7 @@ def _ask(level: int, shards: int, v: int, part: int, parts: int):
                 if level == 3:
                     own = np.repeat(np.asarray(g.docs.column("good")), g.count)[g.rows]
                     stats[0] = np.bincount(g.places[3][own], minlength=columns[0].size)
-                rows = [(ASK, r["run"], s, level, cut[s + 1] - cut[s], _packed([c[cut[s] : cut[s + 1]] for c in columns], v), _pack_stats(stats[:, cut[s] : cut[s + 1]]), None) for s in range(part, shards, parts) if cut[s + 1] > cut[s]]
+                rows = [(ASK, r["run"], s, level, cut[s + 1] - cut[s], _packed([c[cut[s] : cut[s + 1]] for c in columns], v), _pack_stats(stats[:, cut[s] : cut[s + 1]], stats[0, cut[s] : cut[s + 1]]), None) for s in range(part, shards, parts) if cut[s + 1] > cut[s]]
                 if rows:
                     yield _rows(rows)
 
@@ -325,10 +339,10 @@ def _tell(level: int, columns: list[np.ndarray], n: np.ndarray, shards: int, v:
     stats = [np.concatenate([x, y]) for x, y in ((zero + 1, zero), (zero, n), (zero, n == 1), (zero, n == 2), (zero, n >= 3))]
     first, at = _group(_code(both, v))
     both = [c[first] for c in both]
-    order, cut = _cuts(_shard_of(both, shards), shards)
+    order, cut = _cuts(_shard_of([tk.mix(c.astype(np.uint64)) for c in both], shards), shards)
     stats = np.stack([np.bincount(at, s, first.size).astype(np.int64)[order] for s in stats])
-    both = [c[order] for c in both]
-    return [(FACT, "", s, level - 1, b - a, _packed([c[a:b] for c in both], v), _pack_stats(stats[:, a:b]), None) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    both, kinds = [c[order] for c in both], _kinds(stats)
+    return [(FACT, "", s, level - 1, b - a, _packed([c[a:b] for c in both], v), _pack_stats(stats[:, a:b], kinds[a:b]), None) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
 
 
 def _answer(level: int, shards: int, v: int):
@@ -344,7 +358,8 @@ def _answer(level: int, shards: int, v: int):
         for r, a, b in zip(rows, cut[:-1], cut[1:]):
             if r["stats"]:
                 told[:, at[a:b]] += _stats(r)  # n-grams of a row are distinct
-        out = [(ANSWER, r["run"], r["shard"], level, r["size"], [], _pack_stats(told[:, at[a:b]]), None) for r, a, b in zip(rows, cut[:-1], cut[1:]) if r["kind"] == ASK]
+        kinds = _kinds(told)
+        out = [(ANSWER, r["run"], r["shard"], level, r["size"], [], _pack_stats(told[:, at[a:b]], kinds[at[a:b]]), None) for r, a, b in zip(rows, cut[:-1], cut[1:]) if r["kind"] == ASK]
         n = told[0]
         seen = n > 0
         if level > 1 and seen.any():
@@ -357,7 +372,7 @@ def _answer(level: int, shards: int, v: int):
 
 
 def _by_shard(asks: DataFrame, shards: int, answer, name: str) -> DataFrame:
-    return settled(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, PACKED), name, compression="none")
+    return settled(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, PACKED), name, by="kind", compression="none")
 
 
 def _only(kind: int, tables: list[DataFrame]) -> DataFrame:
@@ -473,6 +488,8 @@ def perplexities(rows: DataFrame, schema: str, name: str, pick=lambda bad, good:
         told = _only(FACT, new)
         stats = _only(STAT, new).select("stats").collect()  # a row a shard
         totals[level] = sum((np.frombuffer(r.stats[0], np.int64) for r in stats), np.zeros(6, np.int64))
+        for t in tables:  # the facts just used
+            drop_part(spark, t, f"kind={FACT}")
         tables += new
     columns = [x.split()[0] for x in schema.split(", ")]
     out = []
