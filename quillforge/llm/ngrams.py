@@ -27,7 +27,7 @@ from .scratch import drop_part, mark, settled, sweep
 
 #: bytes of text for each shard, about, and words of a run (a longer document is a run of its own)
 SHARD_BYTES = 8 << 20
-GATHER = 1 << 20
+GATHER = 1 << 19
 #: shares of the shards of trigrams and bigrams, and of the runs, that are on their way one after the other: less disk for more passes over the stored runs
 PASSES = 3
 STATS = 5
