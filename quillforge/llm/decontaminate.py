@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         index = Index([(r.item, r.text) for r in block.collect()], window)  # about block_bytes
-        parts.append(rows.select("id", "tx", "text").mapInArrow(_scan(spark.sparkContext.broadcast(index)), SCHEMA))
+        parts.append(rows.select("id", "tx", "text").mapInArrow(tk.lean(_scan(spark.sparkContext.broadcast(index))), SCHEMA))
     if len(parts) == 1:
         return parts[0]
     # every block returns a row for each document, so repeated rows are counted by blocks

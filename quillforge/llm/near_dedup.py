@@ -142,7 +142,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(reps: DataFrame) -> np.ndarray:
     """How many classes have a token in each of SLOTS slots: 2 MB, whatever the input."""
-    parts = reps.select("sig").mapInArrow(_count, "chunk int, counts binary")
+    parts = reps.select("sig").mapInArrow(tk.lean(_count), "chunk int, counts binary")
     # many tasks' counts are added in two steps, so no task adds more than their square root
     for n in (SLOTS // CHUNK * 4, SLOTS // CHUNK):
         key = [F.col("chunk")] if n == SLOTS // CHUNK else [F.col("chunk"), F.pmod(F.spark_partition_id(), F.lit(4))]
@@ -182,7 +182,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sent(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The sets of wanted (id, tx, num, to: array of structs), a row for each struct: its fields, num and shingles. Texts are shuffled once."""
     kind = wanted.schema["to"].dataType.simpleString()
-    made = pick_texts(docs, wanted, id_col, text_col, ("num", "to")).select("num", "to", "text").mapInArrow(_sets, f"num long, to {kind}, shingles binary")
+    made = pick_texts(docs, wanted, id_col, text_col, ("num", "to")).select("num", "to", "text").mapInArrow(tk.lean(_sets), f"num long, to {kind}, shingles binary")
     return made.select("num", F.explode("to").alias("to"), "shingles").select("num", "to.*", "shingles")
 
 
@@ -245,7 +245,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, least: int, id
     leads = parts.select(F.col("u").alias("num"), F.col("u").alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
     to = dealt.unionByName(leads).groupBy("num").agg(F.collect_list(F.struct("grp", "part", "side")).alias("to"))  # once as v, and once for each part as u
     wanted = written(own.drop("n").join(to, "num"), "near-wanted")
-    links = written(sent(docs, wanted, id_col, text_col).groupBy("grp", "part").applyInArrow(_confirm(least), "u long, v long"), "near-links")
+    links = written(sent(docs, wanted, id_col, text_col).groupBy("grp", "part").applyInArrow(tk.lean_group(_confirm(least)), "u long, v long"), "near-links")
     sweep(docs.sparkSession, since, links)
     return links
 
@@ -360,7 +360,7 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFra
     rows = split_join(rows, mixed, "token", "c", posts).filter("c is not null")
     rows = rows.join(reps.select("num", F.col("n").alias("m"), F.col("short").alias("sig")), "num")
     rows = _blocks(rows, "token", (F.floor((F.col("c") - 1) / BLOCK) + 1).cast("long"), "sig")
-    met = written(rows.groupBy("token", "i", "j").applyInArrow(_meeting(least), "num long, label long, root long"), "near-met")
+    met = written(rows.groupBy("token", "i", "j").applyInArrow(tk.lean_group(_meeting(least)), "num long, label long, root long"), "near-met")
     if met.isEmpty():
         return None
     groups = components(met.select(F.col("label").alias("u"), F.col("root").alias("v")))
@@ -374,7 +374,7 @@ def _across(docs: DataFrame, shared: DataFrame, labels: DataFrame, reps: DataFra
     rows = _blocks(rows, "grp", F.greatest(F.floor((F.col("c") - 1) / BLOCK), F.floor(F.col("all") / BLOCK_SHINGLES)).cast("long") + 1)
     to = rows.groupBy("num").agg(F.collect_list(F.struct("grp", "i", "j", "side", "label", "n")).alias("to"))  # one for each block of its group
     rows = sent(docs, written(members.select("num", "id", "tx").join(to, "num"), "near-wanted"), id_col, text_col)
-    links = written(rows.groupBy("grp", "i", "j").applyInArrow(_verified(least), "u long, v long"), "near-links")
+    links = written(rows.groupBy("grp", "i", "j").applyInArrow(tk.lean_group(_verified(least)), "u long, v long"), "near-links")
     sweep(docs.sparkSession, since, links)
     return links
 
@@ -388,19 +388,19 @@ def _stars(shared: DataFrame, labels: DataFrame, reps: DataFrame, k: int, total:
     met = met.select("num", "lead").repartition("num").groupBy("num", "lead").agg(F.count(F.lit(1)).alias("met"))  # both groupings by one shuffle
     pairs = met.groupBy("num").agg(F.max(F.struct("met", "lead")).alias("best")).select(F.col("best.lead").alias("u"), F.col("num").alias("v"))
     pairs = written(pairs, "near-stars")
-    return beside(pairs, reps.select("num", "short"), "short").mapInArrow(_alike(least), "u long, v long")
+    return beside(pairs, reps.select("num", "short"), "short").mapInArrow(tk.lean(_alike(least)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 85) -> DataFrame:
     """A row for each row of docs: id, tx, n_shingles, component_id, kept."""
     spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(text_col).cast("string").alias("text"))
-    sigs = written(rows.mapInArrow(_signatures, "id long, tx long, n long, cls binary, sig binary, short binary"), "near-sigs")
+    sigs = written(rows.mapInArrow(tk.lean(_signatures), "id long, tx long, n long, cls binary, sig binary, short binary"), "near-sigs")
     linked = sigs.filter("id is not null and cls is not null")
     reps = linked.groupBy("cls").agg(F.min("id").alias("id"), F.min_by("tx", "id").alias("tx"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("short").alias("short"), F.count(F.lit(1)).alias("rows"))
     reps = written(reps.withColumn("num", F.monotonically_increasing_id()), "near-classes")
     order = spark.sparkContext.broadcast(sketch(reps))
-    posted = written(reps.select("sig", "num").mapInArrow(_post(order, K - matches(least) + 1), "token long, num long"), "near-posts")
+    posted = written(reps.select("sig", "num").mapInArrow(tk.lean(_post(order, K - matches(least) + 1)), "token long, num long"), "near-posts")
     total = posted.count()
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     listed = written(split_join(posted, lists, "token", "n", total).filter("n is not null").select("token", "num", "n"), "near-lists")
