@@ -15,7 +15,7 @@ another is added up first, so frequent n-grams have one row a run or shard.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +29,12 @@ from .scratch import drop_part, mark, settled, sweep
 SHARD_BYTES = 8 << 20
 GATHER = 1 << 19
 #: shares of the shards of trigrams and bigrams, and of the runs, that are on their way one after the other: less disk for more passes over the stored runs
-PASSES = 3
+PASSES = 4
+JUDGED = 8
 STATS = 5
 
-#: kinds of packed rows
-ASK, FACT, ANSWER, STAT, RUN = range(5)
+#: kinds of packed rows; facts for shards of pass k are of kind FACT + k
+ASK, ANSWER, STAT, RUN, FACT = range(5)
 PACKED = "kind int, run string, shard int, level int, size long, grams array<binary>, stats array<binary>, docs binary"
 _NAMES = [x.split()[0] for x in PACKED.split(", ")]
 _TYPES = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.binary()]
@@ -55,37 +56,52 @@ def _width(v: int) -> type:
     return np.int32 if v < 1 << 31 else np.int64
 
 
-def _kinds(stats: np.ndarray) -> np.ndarray:
-    """A number for each column of numbers, equal for equal ones, the most frequent first."""
-    if not stats[1:].any():
-        return stats[0]
-    code = tk.mix(stats[0].astype(np.uint64))
+def _kinds(stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns of numbers, the most frequent first, and the place of each column among them."""
+    if len(stats) == 1:
+        most = int(stats.max(initial=0))
+        if most <= 4 * stats.size + 64:
+            return np.arange(most + 1)[None], stats[0]
+    code = stats[0].astype(np.uint64)
     with np.errstate(over="ignore"):
         for x in stats[1:]:
             code = tk.mix(code * tk.U(0xD6E8FEB86659FD93) + x.astype(np.uint64))
     first, at = _group(code)
-    if (stats[:, first[at]] != stats).any():  # one hash for different columns
-        return np.arange(stats.shape[1])
-    often = np.argsort(-np.bincount(at), kind="stable")
+    if any((x[first][at] != x).any() for x in stats):  # one hash for different columns
+        return stats, np.arange(stats.shape[1])
+    often = np.argsort(-np.bincount(at, minlength=first.size), kind="stable")
     place = np.empty(often.size, np.int64)
     place[often] = np.arange(often.size)
-    return place[at]
-
-
-def _pack_stats(stats: np.ndarray, kinds: np.ndarray) -> list[bytes]:
-    """Numbers of n-grams (a column each, of kinds) as places in their distinct columns; nothing if all are 0."""
-    if not stats.any():
+    return stats[:, first[often]], place[at]
+
+
+def _pack_stats(values: np.ndarray, kinds: np.ndarray) -> list[bytes]:
+    """Numbers of n-grams as places in their distinct columns (values by kind, and each n-gram's kind); nothing if all are 0."""
+    if values.shape[1] > 4 * kinds.size + 64:
+        first, at = _group(kinds)
+        some = kinds[first]
+    else:
+        there = np.zeros(values.shape[1], bool)
+        there[kinds] = True
+        some = np.flatnonzero(there)
+        at = (np.cumsum(there) - 1)[kinds]
+    values = values[:, some]
+    if not values.any():
         return []
-    first, at = _group(kinds)
-    return [tk.squeeze(at.astype(np.int32)), tk.squeeze(stats[:, first].ravel()), np.int64(first.size).tobytes()]
+    return [tk.squeeze(at.astype(np.int32)), tk.squeeze(values.ravel()), np.int64(some.size).tobytes()]
 
 
 def _stats(r: dict) -> np.ndarray:
-    if not r["stats"]:
-        return np.zeros((STATS, r["size"]), np.int64)
-    at, values, n = r["stats"]
-    n = int(np.frombuffer(n, np.int64)[0])
-    return tk.unsqueeze(values, STATS * n, np.int64).reshape(STATS, n)[:, tk.unsqueeze(at, r["size"], np.int32)]
+    """The numbers of the n-grams of a row: of trigrams n alone."""
+    lines = 1 if r["level"] == 3 else STATS
+    out = np.zeros((lines, r["size"]), np.int64)
+    if r["stats"]:
+        at, values, n = r["stats"]
+        n = int(np.frombuffer(n, np.int64)[0])
+        at = tk.unsqueeze(at, r["size"], np.int32)
+        for x, y in zip(out, tk.unsqueeze(values, lines * n, np.int64).reshape(lines, n)):
+            np.take(y, at, out=x)
+    return out
 
 
 def _packed(columns: list[np.ndarray], v: int) -> list[bytes]:
@@ -119,14 +135,30 @@ def _code(columns: list[np.ndarray], v: int) -> np.ndarray:
     return out
 
 
-def _shard_of(mixed: list[np.ndarray], shards: int) -> np.ndarray:
-    """The shard of each n-gram from its words' numbers, each mixed."""
+def _share(mixed: np.ndarray) -> np.ndarray:
+    """What a word, mixed, adds to the pass of its n-grams."""
+    return ((mixed >> tk.U(40)).astype(np.uint16) % np.uint16(PASSES)).astype(np.uint8)
+
+
+def _pass_of(shares: list[np.ndarray]) -> np.ndarray:
+    """The pass of each n-gram, from what its words add."""
+    out = shares[0]
+    for c in shares[1:]:
+        out = out + c
+    return out % np.uint8(PASSES)
+
+
+def _shard_of(mixed: list[np.ndarray], own: np.ndarray | int, shards: int) -> np.ndarray:
+    """The shard of each n-gram from its words' numbers, each mixed, and its pass, which is the remainder of the shard by PASSES."""
     out = mixed[0]
     with np.errstate(over="ignore"):
         for c in mixed[1:]:
             out = out * tk.U(0xD6E8FEB86659FD93) + c
         out = out * tk.U(0xBF58476D1CE4E5B9)
-    return ((out ^ (out >> tk.U(29))) % tk.U(shards)).astype(np.uint16 if shards < 1 << 16 else np.int64)
+    out ^= out >> tk.U(29)
+    size = (shards + PASSES - 1 - np.arange(PASSES, dtype=np.uint64)) // tk.U(PASSES)  # shards of each pass
+    kind = np.uint16 if shards < 1 << 16 else np.int64
+    return (out % size[own]).astype(kind) * kind(PASSES) + (own if isinstance(own, int) else own.astype(kind))
 
 
 def _cuts(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +269,7 @@ def _answers(back: dict[tuple[int, int], dict], level: int, cut: np.ndarray) ->
         r = back.get((level, s))
         if r is None or r["size"] != cut[s + 1] - cut[s]:
             raise Lost
-        parts.append(_loose(r["stats"][0], r["size"])[None] if level == 0 else _stats(r)[: 1 if level == 3 else STATS])
+        parts.append(_loose(r["stats"][0], r["size"])[None] if level == 0 else _stats(r))
     return np.concatenate(parts, axis=1) if parts else np.zeros((STATS, 0), np.int64)
 
 
@@ -268,9 +300,9 @@ def _store(table: pa.Table) -> pa.Table:
 class Grams:
     """The distinct n-grams of a stored run, each level in the order of its shards, and where each word's lie.
 
-    Of parts > 1, only those of the shards of one part, and rows are the words whose n-grams these are."""
+    With a part, only those of the shards of that pass, and rows are the words whose n-grams these are."""
 
-    def __init__(self, r: dict, shards: int, levels: tuple[int, ...] = (1, 2, 3), part: int = 0, parts: int = 1):
+    def __init__(self, r: dict, shards: int, levels: tuple[int, ...] = (1, 2, 3), part: int | None = None):
         self.docs = pa.ipc.open_stream(r["docs"]).read_all()
         self.count = count = np.asarray(self.docs.column("n_words"))
         self.cuts, self.columns, self.places = {}, {}, {}
@@ -279,6 +311,7 @@ class Grams:
             return
         self.numbers = np.concatenate([[0], np.cumsum(tk.unsqueeze(r["grams"][1], int(np.frombuffer(r["grams"][2], np.int64)[0]), np.int64))])  # the start is 0
         self.mixed = tk.mix(self.numbers.astype(np.uint64))
+        self.share = _share(self.mixed)
         n = self.numbers.size
         self.word = word = tk.unsqueeze(r["grams"][0], r["size"], np.int32).astype(np.int64) + 1
         self.first = first = (np.cumsum(count) - count)[count > 0]
@@ -287,45 +320,48 @@ class Grams:
         two = np.concatenate([[0], one[:-1]])
         two[first] = 0
         if 1 in levels:
-            self._set(1, [np.arange(n)], shards, np.arange(n))
+            self._set(1, [np.arange(n)], shards, np.arange(n), None)
         if 2 in levels:
             # the histories of trigrams are bigrams, but for that of two starts, the first
-            columns = self._part([np.concatenate([[0], c]) for c in (one, word)], shards, part, parts)
+            columns = self._part([np.concatenate([[0], c]) for c in (one, word)], part)
             some, at = _group(_code(columns, n))
-            self._set(2, [c[some] for c in columns], shards, at)
+            self._set(2, [c[some] for c in columns], shards, at, part)
         if 3 in levels:
-            columns = self._part([two, one, word], shards, part, parts)
+            columns = self._part([two, one, word], part)
             some, at = _group(_code(columns, n))
-            self._set(3, [c[some] for c in columns], shards, at)
+            self._set(3, [c[some] for c in columns], shards, at, part)
 
-    def _part(self, columns: list[np.ndarray], shards: int, part: int, parts: int) -> list[np.ndarray]:
+    def _part(self, columns: list[np.ndarray], part: int | None) -> list[np.ndarray]:
         self.rows = slice(None)
-        if parts == 1:
+        if part is None:
             return columns
-        self.rows = np.flatnonzero(_shard_of([self.mixed[c] for c in columns], shards) % parts == part)
+        self.rows = np.flatnonzero(_pass_of([self.share[c] for c in columns]) == part)
         return [c[self.rows] for c in columns]
 
-    def _set(self, level: int, columns: list[np.ndarray], shards: int, at: np.ndarray) -> None:
-        order, self.cuts[level] = _cuts(_shard_of([self.mixed[c] for c in columns], shards), shards)
+    def _set(self, level: int, columns: list[np.ndarray], shards: int, at: np.ndarray, part: int | None) -> None:
+        own = _pass_of([self.share[c] for c in columns]) if part is None else part
+        order, self.cuts[level] = _cuts(_shard_of([self.mixed[c] for c in columns], own, shards), shards)
         columns = [self.numbers[c] for c in columns]
         back = np.empty(order.size, np.int64)
         back[order] = np.arange(order.size)
         self.columns[level], self.places[level] = [c[order] for c in columns], back[at]
 
 
-def _ask(level: int, shards: int, v: int, part: int, parts: int):
+def _ask(level: int, shards: int, v: int, part: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                g = Grams(r, shards, (level,), part, parts)
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                g = Grams(r, shards, (level,), part)
                 if not g.size:
                     continue
                 columns, cut = g.columns[level], g.cuts[level]
-                stats = np.zeros((STATS, columns[0].size), np.int64)
+                n = np.zeros(columns[0].size, np.int64)
                 if level == 3:
                     own = np.repeat(np.asarray(g.docs.column("good")), g.count)[g.rows]
-                    stats[0] = np.bincount(g.places[3][own], minlength=columns[0].size)
-                rows = [(ASK, r["run"], s, level, cut[s + 1] - cut[s], _packed([c[cut[s] : cut[s + 1]] for c in columns], v), _pack_stats(stats[:, cut[s] : cut[s + 1]], stats[0, cut[s] : cut[s + 1]]), None) for s in range(part, shards, parts) if cut[s + 1] > cut[s]]
+                    n = np.bincount(g.places[3][own], minlength=n.size)
+                values, kinds = _kinds(n[None])
+                rows = [(ASK, r["run"], s, level, b - a, _packed([c[a:b] for c in columns], v), _pack_stats(values, kinds[a:b]), None) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
                 if rows:
                     yield _rows(rows)
 
@@ -339,10 +375,11 @@ def _tell(level: int, columns: list[np.ndarray], n: np.ndarray, shards: int, v:
     stats = [np.concatenate([x, y]) for x, y in ((zero + 1, zero), (zero, n), (zero, n == 1), (zero, n == 2), (zero, n >= 3))]
     first, at = _group(_code(both, v))
     both = [c[first] for c in both]
-    order, cut = _cuts(_shard_of([tk.mix(c.astype(np.uint64)) for c in both], shards), shards)
-    stats = np.stack([np.bincount(at, s, first.size).astype(np.int64)[order] for s in stats])
-    both, kinds = [c[order] for c in both], _kinds(stats)
-    return [(FACT, "", s, level - 1, b - a, _packed([c[a:b] for c in both], v), _pack_stats(stats[:, a:b], kinds[a:b]), None) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    mixed = [tk.mix(c.astype(np.uint64)) for c in both]
+    order, cut = _cuts(_shard_of(mixed, _pass_of([_share(c) for c in mixed]), shards), shards)
+    stats = np.stack([np.bincount(at, s, first.size)[order].astype(np.int64) for s in stats])
+    both, (values, kinds) = [c[order] for c in both], _kinds(stats)
+    return [(FACT + s % PASSES, "", s, level - 1, b - a, _packed([c[a:b] for c in both], v), _pack_stats(values, kinds[a:b]), None) for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
 
 
 def _answer(level: int, shards: int, v: int):
@@ -353,13 +390,14 @@ def _answer(level: int, shards: int, v: int):
         columns = [np.concatenate(c) for c in zip(*(_unpacked(r, v) for r in rows))]
         first, at = _group(_code(columns, v))
         columns = [c[first] for c in columns]
-        told = np.zeros((STATS, first.size), np.int64)
+        told = np.zeros((1 if level == 3 else STATS, first.size), np.int64)
         cut = np.cumsum([0] + [r["size"] for r in rows])
         for r, a, b in zip(rows, cut[:-1], cut[1:]):
             if r["stats"]:
-                told[:, at[a:b]] += _stats(r)  # n-grams of a row are distinct
-        kinds = _kinds(told)
-        out = [(ANSWER, r["run"], r["shard"], level, r["size"], [], _pack_stats(told[:, at[a:b]], kinds[at[a:b]]), None) for r, a, b in zip(rows, cut[:-1], cut[1:]) if r["kind"] == ASK]
+                for x, y in zip(told, _stats(r)):
+                    x[at[a:b]] += y  # n-grams of a row are distinct
+        values, kinds = _kinds(told)
+        out = [(ANSWER, r["run"], r["shard"], level, r["size"], [], _pack_stats(values, kinds[at[a:b]]), None) for r, a, b in zip(rows, cut[:-1], cut[1:]) if r["kind"] == ASK]
         n = told[0]
         seen = n > 0
         if level > 1 and seen.any():
@@ -372,13 +410,13 @@ def _answer(level: int, shards: int, v: int):
 
 
 def _by_shard(asks: DataFrame, shards: int, answer, name: str) -> DataFrame:
-    return settled(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(answer, PACKED), name, by="kind", compression="none")
+    return settled(asks.repartition(shards, "shard").groupBy("shard").applyInArrow(tk.lean_group(answer), PACKED), name, by="kind", compression="none")
 
 
-def _only(kind: int, tables: list[DataFrame]) -> DataFrame:
-    out = tables[0].filter(F.col("kind") == kind)
+def _only(kinds: Iterable[int], tables: list[DataFrame]) -> DataFrame:
+    out = tables[0].filter(F.col("kind").isin(*kinds))
     for t in tables[1:]:
-        out = out.unionByName(t.filter(F.col("kind") == kind))
+        out = out.unionByName(t.filter(F.col("kind").isin(*kinds)))
     return out
 
 
@@ -388,6 +426,11 @@ def _pairs(doc: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, n
     return place[first], first, at
 
 
+def _history(ctx: np.ndarray, d: np.ndarray, place: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """The count of what follows each history, and the share of it that discounting frees."""
+    return ctx[0][place], ((d[1] * ctx[1] + d[2] * ctx[2] + d[3] * ctx[3]) / np.maximum(ctx[0], 1))[place]
+
+
 def probabilities(g: Grams, of: dict[int, np.ndarray], doc: np.ndarray, own: np.ndarray, d: dict[int, np.ndarray], types: int, mass: int, left: float) -> np.ndarray:
     """The interpolated modified Kneser-Ney probability of each word of a run. Words of training texts (own)
     are judged by the counts without their own document; discounts and totals over all words stay."""
@@ -396,10 +439,11 @@ def probabilities(g: Grams, of: dict[int, np.ndarray], doc: np.ndarray, own: np.
     hist[g.first] = g.places[2][0]
     word, before = uni[g.word], uni[g.one]
     n3, n2, n1 = (of[k][0][p] for k, p in ((3, tri), (2, bi), (1, word)))
-    ctx3, ctx2 = of[2][1:, hist], of[1][1:, before]
+    after = [_history(of[k - 1][1:], d[k], p) for k, p in ((3, hist), (2, before))]
     mine = np.flatnonzero(own)
     if mine.size:
         who = doc[mine]
+        ctx3, ctx2 = of[2][1:, hist[mine]], of[1][1:, before[mine]]
 
         def take(level: int, place: np.ndarray, lost: np.ndarray, row: np.ndarray, history: np.ndarray, ctx: np.ndarray) -> np.ndarray:
             """Takes what documents add to n-grams (lost, of a pair each) from the numbers of their histories; the pairs that nothing is left of."""
@@ -407,7 +451,7 @@ def probabilities(g: Grams, of: dict[int, np.ndarray], doc: np.ndarray, own: np.
             less = [lost] + [x(n).astype(np.int64) - x(n - lost) for x in (lambda v: v == 1, lambda v: v == 2, lambda v: v >= 3)]
             _, _, at = _pairs(who, history, of[level - 1].shape[1])
             for i, x in enumerate(less):
-                ctx[i, mine] -= np.bincount(at[row], x, mine.size).astype(np.int64)[at]
+                ctx[i] -= np.bincount(at[row], x, mine.size).astype(np.int64)[at]
             return (n == lost).astype(np.int64)
 
         place, row, at = _pairs(who, tri[mine], of[3].shape[1])
@@ -420,10 +464,11 @@ def probabilities(g: Grams, of: dict[int, np.ndarray], doc: np.ndarray, own: np.
         gone, row = take(2, place, lost, next_row, before[mine], ctx2), next_row
         place, _, at = _pairs(who, word[mine], of[1].shape[1])
         n1[mine] -= np.bincount(at[row], gone, place.size).astype(np.int64)[at]
+        for x, ctx, k in zip(after, (ctx3, ctx2), (3, 2)):
+            x[0][mine], x[1][mine] = _history(ctx, d[k])
     p = np.maximum(n1 - d[1][np.minimum(n1, 3)], 0) / max(1, mass) + max(left, 1e-3) / (types + 1)
-    for n, ctx, k in ((n2, ctx2, 2), (n3, ctx3, 3)):
-        total = np.maximum(ctx[0], 1)
-        p = np.where(ctx[0] > 0, np.maximum(n - d[k][np.minimum(n, 3)], 0) / total + (d[k][1] * ctx[1] + d[k][2] * ctx[2] + d[k][3] * ctx[3]) / total * p, p)
+    for n, (total, freed), k in ((n2, after[1], 2), (n3, after[0], 3)):
+        p = np.where(total > 0, np.maximum(n - d[k][np.minimum(n, 3)], 0) / np.maximum(total, 1) + freed * p, p)
     return np.maximum(p, 1e-12)
 
 
@@ -469,32 +514,32 @@ def perplexities(rows: DataFrame, schema: str, name: str, pick=lambda bad, good:
     spark, since = rows.sparkSession, mark()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(12, size // shard_bytes + 1)
-    found = _by_shard(rows.mapInArrow(_ask_numbers(shards, gather), PACKED), shards, _number(shards, pick), "kn-numbers")
+    found = _by_shard(rows.mapInArrow(tk.lean(_ask_numbers(shards, gather)), PACKED), shards, _number(shards, pick), "kn-numbers")
     stats = found.filter(F.col("kind") == STAT).select("size", "grams", "stats").collect()  # a row a shard, with what is picked
     v = max((r["size"] for r in stats), default=0) + 1
     picked = (np.frombuffer(b"".join(x), t) for x, t in (([r.grams[0] for r in stats], np.uint64), ([r.stats[0] for r in stats], np.int64), ([r.stats[1] for r in stats], np.int64)))
     more = more(*picked)
-    stored = rows.mapInArrow(_documents(shards, gather, more), PACKED).unionByName(_only(ANSWER, [found]))
-    stored = settled(stored.groupBy("run").applyInArrow(_store, PACKED), "kn-runs", compression="none")
+    stored = rows.mapInArrow(tk.lean(_documents(shards, gather, more)), PACKED).unionByName(_only([ANSWER], [found]))
+    stored = settled(stored.groupBy("run").applyInArrow(tk.lean_group(_store), PACKED), "kn-runs", compression="none")
     sweep(spark, since, stored)
-    tables, told, totals = [], None, {}
+    tables, totals = [], {}
     for level in (3, 2, 1):
-        parts = PASSES if level > 1 else 1
         new = []
-        for part in range(parts):
-            asks = stored.mapInArrow(_ask(level, shards, v, part, parts), PACKED)
-            asks = asks if told is None else asks.unionByName(told.filter(F.pmod("shard", F.lit(parts)) == part))
+        for part in range(PASSES) if level > 1 else [None]:
+            asks = stored.mapInArrow(tk.lean(_ask(level, shards, v, part)), PACKED)
+            if level < 3:
+                asks = asks.unionByName(_only(range(FACT, FACT + PASSES) if part is None else [FACT + part], tables[-PASSES:]))
             new.append(_by_shard(asks, shards, _answer(level, shards, v), f"kn-{level}"))
-        told = _only(FACT, new)
-        stats = _only(STAT, new).select("stats").collect()  # a row a shard
+            for t in tables[-PASSES:]:  # the facts just used
+                for k in range(PASSES) if part is None else [part]:
+                    drop_part(spark, t, f"kind={FACT + k}")
+        stats = _only([STAT], new).select("stats").collect()  # a row a shard
         totals[level] = sum((np.frombuffer(r.stats[0], np.int64) for r in stats), np.zeros(6, np.int64))
-        for t in tables:  # the facts just used
-            drop_part(spark, t, f"kind={FACT}")
         tables += new
     columns = [x.split()[0] for x in schema.split(", ")]
     out = []
-    for part in range(PASSES):
-        mine = stored.unionByName(_only(ANSWER, tables)).filter(F.pmod(F.crc32("run"), F.lit(PASSES)) == part)
-        out.append(settled(mine.groupBy("run").applyInArrow(_judge(shards, totals, columns), schema), name))
+    for part in range(JUDGED):
+        mine = stored.unionByName(_only([ANSWER], tables)).filter(F.pmod(F.crc32("run"), F.lit(JUDGED)) == part)
+        out.append(settled(mine.groupBy("run").applyInArrow(tk.lean_group(_judge(shards, totals, columns)), schema), name))
     sweep(spark, since, *out)
     return out
