@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillforge.llm import decontaminate, exact_dedup, mixing, near_dedup, quality
+from quillforge.llm import decontaminate, exact_dedup, mixing, near_dedup, ngrams, quality
 from quillforge.llm.keep import keep_rows
 from quillforge.llm.scratch import written
 
 #: near copies of a stage: pairs at a similarity of 0.80 or more (op10 keeps its contract of 0.85)
 NEAR_LEAST = 80
+#: words of a run of the quality stage, half of what op1 takes: all stages share an executor's memory, and the pipeline may use more disk
+GATHER = ngrams.GATHER // 2
 
 #: a language model and a mixing rule that iterates are beyond SQL
 ORACLE_SQL = None
@@ -24,7 +26,7 @@ ORACLE_SQL = None
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return keep_rows(docs, quality.classify(docs, labels))
+    return keep_rows(docs, quality.classify(docs, labels, gather=GATHER))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

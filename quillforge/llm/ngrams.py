@@ -106,14 +106,15 @@ def _stats(r: dict) -> np.ndarray:
 
 def _packed(columns: list[np.ndarray], v: int) -> list[bytes]:
     """Sorted n-grams of word numbers under v."""
-    head = columns[0] * v + columns[1] if len(columns) == 3 else columns[0]
+    head = columns[0].astype(np.int64, copy=False)
+    head = head * v + columns[1] if len(columns) == 3 else head
     return _squeezed([np.diff(head, prepend=0), *(c.astype(_width(v)) for c in columns[max(1, len(columns) - 1) :])])
 
 
 def _unpacked(r: dict, v: int) -> list[np.ndarray]:
     first, *last = (_loose(x, r["size"], k) for x, k in zip(r["grams"], (np.int64, _width(v))))
     first = np.cumsum(first)
-    return [*(np.divmod(first, v) if r["level"] == 3 else [first]), *last]
+    return [c.astype(_width(v), copy=False) for c in [*(np.divmod(first, v) if r["level"] == 3 else [first]), *last]]
 
 
 def _group(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +130,7 @@ def _group(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _code(columns: list[np.ndarray], v: int) -> np.ndarray:
     """A number for each n-gram, in their order; v * v is under 2^63."""
-    out = columns[0]
+    out = columns[0].astype(np.int64, copy=False)
     for i, c in enumerate(columns[1:], 2):
         out = (_group(out)[1] if v**i >= 1 << 63 else out) * v + c
     return out

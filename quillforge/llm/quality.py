@@ -194,8 +194,8 @@ def rejected(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull() & ((F.col("quality") == 0) | (F.col("toxic") == 1))).select(F.col("doc_id").cast("long").alias("id")).distinct()
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
-    """A row for each document: id, tx, lang, n_words, perplexity, limit, kept."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, gather: int = ngrams.GATHER) -> DataFrame:
+    """A row for each document: id, tx, lang, n_words, perplexity, limit, kept. Runs of fewer words (gather) take less memory and more disk."""
     spark, since = docs.sparkSession, mark()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tx"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = written(trusted(labels).withColumn("bad", F.lit(False)).unionByName(rejected(labels).withColumn("bad", F.lit(True))), "kn-labels")
@@ -203,7 +203,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     rows = rows.join(F.broadcast(known) if small else known, "id", "left").select("id", "tx", "lang", "text", F.coalesce(~F.col("bad"), F.lit(False)).alias("good"), F.coalesce("bad", F.lit(False)).alias("bad"))
     rows = rows if small else written(rows, "kn-rows")  # rows are read more than once, in one order
     n_bad, n_good = rows.agg(*(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)) for c in ("bad", "good"))).first()
-    parts = ngrams.perplexities(rows, "id long, tx long, lang string, good boolean, n_words long, perplexity double, contrast double", "kn-scores", *_contrast(n_bad, n_good))
+    parts = ngrams.perplexities(rows, "id long, tx long, lang string, good boolean, n_words long, perplexity double, contrast double", "kn-scores", *_contrast(n_bad, n_good), gather=gather)
     sweep(spark, since, *parts)
     scored = reduce(DataFrame.unionByName, parts)
     held = scored.filter("good and perplexity is not null")
